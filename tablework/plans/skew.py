@@ -163,6 +163,9 @@ def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str,
     their right rows: at most ``MAX_SLICES`` of them, because the right side
     is unique per key. All other rows take the ordinary shuffled join.
     """
+    for c in on:
+        if left.schema[c].dataType != right.schema[c].dataType:
+            raise ValueError(f"join column {c} differs in type; cast one side first")
     heavy = heavy_hashes(left, on, slice_rows)
     if not heavy:
         return left.join(right, list(on), how)
