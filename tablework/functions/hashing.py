@@ -1,4 +1,4 @@
-"""Pseudo-random values derived from an MD5 of a seed text.
+"""Pseudo-random values derived from an MD5 of the row's identity.
 
 Unlike ``rand()`` they do not depend on the partitioning, so a row that is
 computed again gets the same value.
@@ -12,20 +12,19 @@ from pyspark.sql import functions as F
 DIGITS_36 = "0123456789abcdefghijklmnopqrstuvwxyz"
 
 
-def seed_text(*parts: Column | str | int) -> Column:
-    """``part:part:part`` as the text to hash."""
-    return F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p))
-                              for p in parts])
+def digest(*parts: Column | str | int) -> Column:
+    """MD5 (32 hex digits) of ``part:part:part``."""
+    return F.md5(F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p))
+                                    for p in parts]))
 
 
-def piece(seed: Column, index: int) -> Column:
-    """The ``index``-th (0..3) 32-bit number of the seed's MD5, as a bigint."""
-    return F.conv(F.substring(F.md5(seed), 8 * index + 1, 8), 16, 10).cast("bigint")
+def piece(digest: Column, index: int) -> Column:
+    """The ``index``-th (0..3) 32-bit number of an MD5, as a bigint."""
+    return F.conv(F.substring(digest, 8 * index + 1, 8), 16, 10).cast("bigint")
 
 
-def base36(seed: Column, at: int, length: int) -> Column:
+def base36(digest: Column, at: int, length: int) -> Column:
     """Base-36 characters, each from two hex digits of the MD5, starting at hex digit ``at``."""
-    digest = F.md5(seed)
     chars = [F.substring(F.lit(DIGITS_36),
                          (F.conv(F.substring(digest, at + 2 * i + 1, 2), 16, 10).cast("int") % 36) + 1,
                          F.lit(1))

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablework.functions.hashing import base36, piece
+from tablework.functions.hashing import base36, digest, piece
 
 # SQL type names by the Spark type they become.
 TYPE_NAMES = {
@@ -79,20 +79,20 @@ def spark_type(name: str, unsupported_as_null: bool = False) -> T.DataType:
     return _UNSIGNED.get(dtype, dtype) if unsigned else dtype
 
 
-def fill_type(type_col: Column, seed: Column | None = None) -> Column:
+def fill_type(type_col: Column, drawn: Column | None = None) -> Column:
     """Fill ``%d`` marks: one becomes 16, two become 16 and 6; more is an error.
 
-    ``set`` and ``enum`` get a member list, drawn from the seed and therefore
-    the same wherever the same column is written.
+    ``set`` and ``enum`` get a member list drawn from an MD5, the same
+    wherever the same column is written.
     """
     marks = F.size(F.split(type_col, "%d", -1)) - 1
     first = F.replace(type_col, F.lit("%d"), F.lit("16"))
     both = F.concat(F.split_part(type_col, F.lit("%d"), F.lit(1)), F.lit("16"),
                     F.split_part(type_col, F.lit("%d"), F.lit(2)), F.lit("6"),
                     F.split_part(type_col, F.lit("%d"), F.lit(3)))
-    seed = F.lit("members") if seed is None else seed
-    members = F.concat(type_col, F.lit("('"), base36(seed, 0, 4), F.lit("','"),
-                       base36(seed, 8, 4), F.lit("x')"))
+    drawn = digest("members") if drawn is None else drawn
+    members = F.concat(type_col, F.lit("('"), base36(drawn, 0, 4), F.lit("','"),
+                       base36(drawn, 8, 4), F.lit("x')"))
     return (F.when(type_col.isin("set", "enum"), members)
             .when(marks == 0, type_col).when(marks == 1, first).when(marks == 2, both)
             .otherwise(F.raise_error(F.concat(F.lit("invalid type: "), type_col))))
@@ -134,29 +134,27 @@ def type_family(type_col: Column) -> Column:
             .otherwise("string"))
 
 
-def type_literal(type_col: Column, seed: Column, postgres: bool = False) -> Column:
-    """A SQL literal of the type, fixed by the seed."""
+def family_literal(family: Column, drawn: Column, postgres: bool = False) -> Column:
+    """A SQL literal for a type family (see :func:`type_family`), fixed by an MD5."""
     def q(text: Column) -> Column:
         return F.concat(F.lit("'"), text, F.lit("'"))
 
-    n = piece(seed, 0)
+    n = piece(drawn, 0)
     small = (n % 127).cast("string")
     cents = n % 25600
     number = F.concat(F.floor(cents / 100).cast("string"), F.lit("."),
                       F.lpad((cents % 100).cast("string"), 2, "0"))
     day = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), (n % 24837).cast("int")),
                         "yyyy-MM-dd")
-    second = piece(seed, 1) % 86400
+    second = piece(drawn, 1) % 86400
 
     def two(value: Column) -> Column:
         return F.lpad(F.floor(value).cast("string"), 2, "0")
 
     clock = F.concat(two(second / 3600), F.lit(":"), two((second % 3600) / 60), F.lit(":"),
                      two(second % 60))
-    digest = F.md5(seed)
     bit = F.concat(q((n % 2).cast("string")), F.lit("::bit(16)" if postgres else ""))
     point = F.concat(F.lit("("), small, F.lit(",1)"))
-    family = type_family(type_col)
     return (F.when(family == "bit", bit)
             .when(family == "int", small)
             .when(family == "number", number)
@@ -166,13 +164,13 @@ def type_literal(type_col: Column, seed: Column, postgres: bool = False) -> Colu
             .when(family == "timestamp", q(F.concat(day, F.lit(" "), clock)))
             .when(family == "json", q(F.concat(F.lit('{"k": '), small, F.lit("}"))))
             .when(family == "uuid", q(F.concat_ws(
-                "-", *[F.substring(digest, at, size) for at, size in
+                "-", *[F.substring(drawn, at, size) for at, size in
                        [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]])))
             .when(family == "address", q(F.concat(F.lit("10.0.0."), small)))
-            .when(family == "mac", q(F.concat(F.lit("08:00:2b:00:00:"), F.substring(digest, 1, 2))))
+            .when(family == "mac", q(F.concat(F.lit("08:00:2b:00:00:"), F.substring(drawn, 1, 2))))
             .when(family == "interval", q(F.concat(small, F.lit(" days"))))
             .when(family == "range", q(F.lit("empty")))
             .when(family == "point", q(point))
             .when(family == "points", q(F.concat(F.lit("("), point, F.lit(",(0,0))"))))
             .when(family == "circle", q(F.concat(F.lit("<"), point, F.lit(",1>"))))
-            .otherwise(q(base36(seed, 0, 7))))
+            .otherwise(q(base36(drawn, 0, 7))))

@@ -37,4 +37,5 @@ def check(name: str, sql: str | None = None):
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from tablework.registry import dedupe  # noqa: F401
+    from tablework.registry import (  # noqa: F401
+        collections, dedupe, files, generation, jobs, names, scalars)
