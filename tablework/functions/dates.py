@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed grammar of a duration: one leading sign for all parts, months spelled "mo".
-DURATION = r"^-?(?:\d+y)?(?:\d+mo)?(?:\d+d)?(?:\d+h)?(?:\d+m)?(?:\d+s)?$"
+DURATION = (r"^-?(?:\d{1,9}y)?(?:\d{1,9}mo)?(?:\d{1,9}d)?"
+            r"(?:\d{1,9}h)?(?:\d{1,9}m)?(?:\d{1,9}s)?$")
 
 
 def date_add_duration(date: Column, duration: Column) -> Column:
@@ -14,8 +15,8 @@ def date_add_duration(date: Column, duration: Column) -> Column:
     sign = F.when(duration.startswith("-"), -1).otherwise(1)
 
     def part(unit: str) -> Column:
-        digits = F.regexp_extract(duration, rf"(\d+){unit}", 1)
-        return sign * F.coalesce(digits.try_cast("int"), F.lit(0))
+        digits = F.regexp_extract(duration, rf"(\d{{1,9}}){unit}", 1)
+        return sign * F.when(digits == "", 0).otherwise(digits.cast("int"))
 
     moved = date.cast("timestamp_ntz") + F.make_interval(
         years=part("y"), months=part("mo"), days=part("d"),

@@ -85,7 +85,7 @@ def fill_type(type_col: Column, drawn: Column | None = None) -> Column:
     ``set`` and ``enum`` get a member list drawn from an MD5, the same
     wherever the same column is written.
     """
-    marks = F.size(F.split(type_col, "%d", -1)) - 1
+    marks = F.length(type_col) - F.length(F.replace(type_col, F.lit("%d"), F.lit("%")))
     first = F.replace(type_col, F.lit("%d"), F.lit("16"))
     both = F.concat(F.split_part(type_col, F.lit("%d"), F.lit(1)), F.lit("16"),
                     F.split_part(type_col, F.lit("%d"), F.lit(2)), F.lit("6"),
@@ -98,40 +98,49 @@ def fill_type(type_col: Column, drawn: Column | None = None) -> Column:
             .otherwise(F.raise_error(F.concat(F.lit("invalid type: "), type_col))))
 
 
-def bare_type(type_col: Column) -> Column:
-    """The type name without placeholders, parentheses and commas."""
-    return F.regexp_replace(type_col, r"%d|[(),]", "")
-
-
 def type_column_name(type_col: Column, prefix: str = "c_") -> Column:
-    """Column name made from a type: blanks to underscores, member lists flattened."""
-    listed = type_col.rlike(r"^(?:set|enum)\(")
-    flat = F.translate(type_col, " ,()'", "___")
+    """Column name made from a type: blanks to underscores, placeholders and
+    parentheses dropped, member lists flattened."""
+    listed = type_col.startswith("set(") | type_col.startswith("enum(")
+    plain = F.translate(F.replace(type_col, F.lit("%d"), F.lit("")), " (),'", "_")
     return F.concat(F.lit(prefix),
-                    F.when(listed, flat).otherwise(F.translate(bare_type(type_col), " '", "_")))
-
-
-def type_family(type_col: Column) -> Column:
-    """Which kind of literal a type takes."""
-    base = F.lower(bare_type(type_col))
-    return (F.when(base.rlike(r"range$"), "range")
-            .when(base.rlike(r"^(?:bit|varbit)"), "bit")
-            .when(base.rlike(r"^(?:tiny|small|medium|big)?int|^(?:byte|short|long$|oid|year)"), "int")
-            .when(base.rlike(r"^(?:float|double|real|decimal|numeric)"), "number")
-            .when(base.rlike(r"^bool"), "boolean")
-            .when(base.rlike(r"^date$"), "date")
-            .when(base.rlike(r"^(?:datetime|timestamp)"), "timestamp")
-            .when(base.rlike(r"^time"), "time")
-            .when(base.rlike(r"binary|blob|^bytea|^varbyte"), "binary")
-            .when(base.rlike(r"^json"), "json")
-            .when(base.rlike(r"^uuid"), "uuid")
-            .when(base.rlike(r"^(?:inet|cidr)"), "address")
-            .when(base.rlike(r"^macaddr"), "mac")
-            .when(base.rlike(r"^interval"), "interval")
-            .when(base.rlike(r"^point"), "point")
-            .when(base.rlike(r"^(?:box|lseg|polygon)"), "points")
-            .when(base.rlike(r"^circle"), "circle")
-            .otherwise("string"))
+                    F.when(listed, F.translate(type_col, " ,()'", "___")).otherwise(plain))
+
+
+# First words of the type names by the kind of literal they take.
+FAMILIES = {
+    "bit": "bit varbit",
+    "int": "int int1 int2 int4 int8 integer tinyint smallint mediumint bigint byte byteint short "
+           "oid year",
+    "number": "float float32 float64 float4 float8 double real decimal numeric",
+    "boolean": "bool boolean",
+    "date": "date",
+    "timestamp": "datetime timestamp timestamptz",
+    "time": "time timetz",
+    "binary": "binary varbinary longbinary varbyte blob tinyblob mediumblob longblob bytea",
+    "json": "json jsonb",
+    "uuid": "uuid",
+    "address": "inet cidr",
+    "mac": "macaddr",
+    "interval": "interval",
+    "range": "int4range int8range numrange tsrange tstzrange daterange",
+    "point": "point",
+    "points": "box lseg polygon",
+    "circle": "circle",
+}
+
+
+def first_word(type_col: Column) -> Column:
+    return F.lower(F.regexp_extract(type_col, r"^\w+", 0))
+
+
+def type_family(type_col: Column, word: Column) -> Column:
+    """Which kind of literal a type takes, by its first word; ``string`` where
+    that is none of the listed."""
+    found = F.when(type_col.isin("long"), "int").when(word.isin("char", "varchar"), "string")
+    for family, names in FAMILIES.items():
+        found = found.when(word.isin(*names.split()), family)
+    return found.otherwise("string")
 
 
 def family_literal(family: Column, drawn: Column, postgres: bool = False) -> Column:

@@ -55,7 +55,7 @@ def sparse_leaf_dirs(files: DataFrame, n: int) -> DataFrame:
     Directories that hold no file at any depth cannot be seen in an inventory.
     """
     counted = _by_directory(files, F.count(F.lit(1)).alias("files"))
-    every = counted.select(F.explode(_ancestors(F.col("dir"))).alias("dir")).distinct()
+    every = counted.select(F.explode_outer(_ancestors(F.col("dir"))).alias("dir")).distinct()
     inner = every.select(parent_dir(F.col("dir")).alias("dir")).distinct()
     return counted.where(F.col("files") <= n).join(inner, "dir", "left_anti")
 
@@ -68,7 +68,7 @@ def emptied_dirs(files: DataFrame, max_size: int) -> DataFrame:
     """
     counted = _by_directory(files, F.count_if(F.col("length") > max_size).alias("left"),
                             F.count(F.lit(1)).alias("files"))
-    return (counted.select(F.explode(_ancestors(F.col("dir"))).alias("dir"), "left", "files")
+    return (counted.select(F.explode_outer(_ancestors(F.col("dir"))).alias("dir"), "left", "files")
             .groupBy("dir").agg(F.sum("left").alias("left"), F.sum("files").alias("files"))
             .where("left = 0").select("dir", "files"))
 
@@ -128,8 +128,8 @@ def pair_by_pattern(left: DataFrame, right: DataFrame, lpat: str = r"([0-9]{3})"
                          F.regexp_extract(name, lpat, 1).alias("key")).where("key <> ''"))
     keys = F.regexp_extract_all(F.col(name), F.lit(rpat), F.lit(1))
     titles = F.regexp_extract_all(F.col(name), F.lit(rpat), F.lit(2))
-    found = right.select(F.col(name), F.posexplode(F.arrays_zip(
-        keys.alias("key"), titles.alias("title"))).alias("_at", "_m"))
+    found = right.select(F.col(name), F.posexplode_outer(F.arrays_zip(
+        keys.alias("key"), titles.alias("title"))).alias("_at", "_m")).where("_at is not null")
     first = (found.groupBy(F.col("_m.key").alias("key"))
              .agg(F.min(F.struct(F.col(name), F.col("_at"), F.col("_m.title").alias("title"))).alias("_r")))
     paired = lookup_join(keyed, first, ["key"], "inner")

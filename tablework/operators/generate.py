@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 
 from tablework.functions.hashing import base36, digest, piece
 from tablework.functions.text import interpolate, quote_ident, quoted, sql_literal
-from tablework.functions.typenames import (family_literal, fill_type, spark_type,
-                                           type_column_name, type_family)
+from tablework.functions.typenames import (family_literal, fill_type, first_word,
+                                           spark_type, type_column_name, type_family)
 from tablework.plans.skew import ranked
 
 MAX_ITEMS = 30
@@ -147,15 +147,6 @@ def distinct_items(df: DataFrame, col: str) -> list[str]:
     return sorted(r["v"] for r in rows)
 
 
-def _numbered(names: Column) -> Column:
-    """Equal column names get ``_2``, ``_3``, ... from the second one on."""
-    def one(name: Column, i: Column) -> Column:
-        seen = F.size(F.filter(F.slice(names, F.lit(1), i + 1), lambda other: other == name))
-        return F.when(seen > 1, F.concat(name, F.lit("_"), seen.cast("string"))).otherwise(name)
-
-    return F.transform(names, one)
-
-
 class TableStyle:
     """How typed tables are written: quoting, comments, layout, partitions.
 
@@ -177,17 +168,28 @@ class TableStyle:
         self.extra_column, self.suffix = extra_column, suffix
         self.partition_types, self.seed = list(partition_types), seed
 
-    def columns(self, table: Column, types: Column) -> Column:
-        """Array of ``(name, type, family)``, placeholders filled, names told apart."""
-        def filled(type_col: Column, i: Column) -> Column:
-            return fill_type(type_col, digest(self.seed, table, i))
-
-        filled_types = F.transform(types, filled)
-        shown = F.transform(types, lambda t, i: F.when(
-            t.isin("set", "enum"), filled(t, i)).otherwise(t))
-        names = _numbered(F.transform(shown, lambda t: type_column_name(t)))
-        return F.arrays_zip(names.alias("name"), filled_types.alias("type"),
-                            F.transform(types, type_family).alias("family"))
+    def with_columns(self, specs: DataFrame, table: str, types: str) -> DataFrame:
+        """Add ``_columns``: array of ``(name, type, family)``, placeholders
+        filled, equal names told apart."""
+        def read(raw: Column, i: Column) -> Column:
+            return F.struct(raw.alias("raw"), first_word(raw).alias("word"),
+                            fill_type(raw, digest(self.seed, F.col(table), i)).alias("type"))
+
+        def name(column: Column) -> Column:
+            shown = F.when(column["raw"].isin("set", "enum"), column["type"]).otherwise(column["raw"])
+            return F.struct(type_column_name(shown).alias("name"), column["type"].alias("type"),
+                            type_family(column["raw"], column["word"]).alias("family"))
+
+        def tell_apart(column: Column, i: Column) -> Column:
+            seen = F.size(F.filter(F.slice("_named", F.lit(1), i + 1),
+                                   lambda other: other["name"] == column["name"]))
+            again = F.when(seen > 1, F.concat(column["name"], F.lit("_"), seen.cast("string")))
+            return F.struct(F.coalesce(again, column["name"]).alias("name"),
+                            column["type"].alias("type"), column["family"].alias("family"))
+
+        # Lambdas know no common subexpressions: what is used twice is made in a step of its own.
+        named = specs.withColumn("_named", F.transform(F.transform(types, read), name))
+        return named.withColumn("_columns", F.transform("_named", tell_apart)).drop("_named")
 
     def comment_text(self, table: Column, column: Column) -> Column:
         return interpolate(self.comment, table=table, column=quote_ident(column["name"], self.quote),
@@ -232,7 +234,7 @@ class TableStyle:
         rows = F.array_join(F.transform(F.sequence(first_row, last_row), value_row), ",")
         if self.partition_types:
             fixed = [F.concat(self._partition_name(t), F.lit("="), family_literal(
-                type_family(F.lit(t)), digest(self.seed, table, first_row, f"p{i}")))
+                type_family(F.lit(t), first_word(F.lit(t))), digest(self.seed, table, first_row, f"p{i}")))
                 for i, t in enumerate(self.partition_types)]
             where = F.concat(F.lit(" partition("), F.concat_ws(",", *fixed), F.lit(")"))
         else:
@@ -251,10 +253,10 @@ def typed_statements(specs: DataFrame, style: TableStyle | None = None, row_num:
     """
     style = style or TableStyle()
     batches = -(-row_num // batch_size) if row_num > 0 else 0
-    base = specs.withColumn("_columns", style.columns(F.col(table), F.col(types)))
+    base = style.with_columns(specs, table, types)
     alone = bool(style.comment and style.comment_alone)
     comments = F.size("_columns") if alone else F.lit(0)
-    numbered = base.withColumn("statement_no", F.explode(F.sequence(F.lit(0), comments + batches)))
+    numbered = base.withColumn("statement_no", F.explode_outer(F.sequence(F.lit(0), comments + batches)))
     number, columns = F.col("statement_no"), F.col("_columns")
     text = F.when(number == 0, style.create(F.col(table), columns))
     if alone:
@@ -272,8 +274,8 @@ def column_comments(specs: DataFrame, comment: str, table: str = "table_name",
                     types: str = "types", quote: str | None = None) -> DataFrame:
     """One comment statement per column: ``(table, column_name, statement)``."""
     style = TableStyle(quote=quote, comment=comment, comment_alone=True)
-    exploded = specs.select(F.col(table), F.explode(
-        style.columns(F.col(table), F.col(types))).alias("_c"))
+    exploded = style.with_columns(specs, table, types).select(
+        table, F.explode_outer("_columns").alias("_c")).where("_c is not null")
     return exploded.select(table, F.col("_c.name").alias("column_name"),
                            style.comment_statement(F.col(table), F.col("_c")).alias("statement"))
 
@@ -288,7 +290,7 @@ def typed_table(spark: SparkSession, types: Sequence[str], name: str, style: Tab
         raise ValueError("at least one type is required")
     style = style or TableStyle()
     specs = spark.createDataFrame([(name, list(types))], "table_name string, types array<string>")
-    made = specs.select(style.columns(F.col("table_name"), F.col("types")).alias("c")).first()["c"]
+    made = style.with_columns(specs, "table_name", "types").first()["_columns"]
     parts = specs.select(*[F.struct(style._partition_name(t).alias("name"),
                                     fill_type(F.lit(t)).alias("type")) for t in style.partition_types]
                          or [F.lit(None)]).first() if style.partition_types else []

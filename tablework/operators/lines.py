@@ -16,7 +16,9 @@ def text_lines(df: DataFrame, col: str, comments: bool = False) -> DataFrame:
     starts with ``@`` (``value`` is then NULL). Line numbers count all lines.
     """
     kept = [c for c in df.columns if c != col]
-    lines = df.select(*kept, F.posexplode(F.split(col, "\n", -1)).alias("_pos", "value"))
+    # The outer form spares a second split: for the plain one Spark adds a filter on its size.
+    lines = df.select(*kept, F.posexplode_outer(F.split(col, "\n", -1)).alias("_pos", "value"))
+    lines = lines.where("_pos is not null")
     lines = lines.withColumn("line_no", F.col("_pos").cast("bigint") + 1)
     if not comments:
         return lines.select(*kept, "line_no", "value")

@@ -82,22 +82,15 @@ def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str],
             .drop("_bounds", "_h"))
 
 
-def _slice_rows(df: DataFrame, keys: Sequence[str], slice_rows: int | None) -> int:
-    if slice_rows is not None:
-        return slice_rows
-    # The global order has no key to spread over the tasks, so it is cut finer.
-    return SLICE_ROWS if keys else SLICE_ROWS // 8
-
-
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rank",
-           descending: bool = False, slice_rows: int | None = None) -> DataFrame:
+           descending: bool = False, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Add ``name`` = 1, 2, ... within the key in the given order.
 
     ``keys`` may be empty for one numbering over the whole table. ``order``
     must be total within the key (end it with the primary key).
     """
     by = _directed(order, descending)
-    bounds = _slice_bounds(df, keys, order, _slice_rows(df, keys, slice_rows))
+    bounds = _slice_bounds(df, keys, order, slice_rows)
     if bounds is None:
         window = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*by)
         return df.withColumn(name, F.row_number().over(window).cast("bigint"))
@@ -115,12 +108,12 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str =
 
 
 def with_previous(df: DataFrame, values: dict[str, str], keys: Sequence[str],
-                  order: Sequence[str], slice_rows: int | None = None) -> DataFrame:
+                  order: Sequence[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Add the value each column had in the preceding row (``{new name: column}``).
 
     The extra boolean ``has_previous`` is false for the first row of a key.
     """
-    bounds = _slice_bounds(df, keys, order, _slice_rows(df, keys, slice_rows))
+    bounds = _slice_bounds(df, keys, order, slice_rows)
     carried = F.struct(*[F.col(c).alias(new) for new, c in values.items()])
     new_cols = [F.col(f"_prev.{new}").alias(new) for new in values]
     tail = [*new_cols, F.col("_prev").isNotNull().alias("has_previous")]

@@ -29,8 +29,9 @@ def _(t):
 
     duration = F.concat(F.when(F.col("o_orderkey") % 2 == 0, "-").otherwise(""), part(3, "y"),
                         part(14, "mo"), part(40, "d"), part(50, "h"), part(7, "m"))
-    moved = dates.date_add_duration(F.col("o_orderdate").cast("date"), duration)
-    return t.orders.select("o_orderkey", F.date_format(moved, "yyyy-MM-dd").alias("moved"))
+    moved = dates.date_add_duration(F.col("o_orderdate").cast("date"), F.col("duration"))
+    spans = t.orders.select("o_orderkey", "o_orderdate", duration.alias("duration"))
+    return spans.select("o_orderkey", F.date_format(moved, "yyyy-MM-dd").alias("moved"))
 
 
 @check("date_diff_units", """

@@ -110,7 +110,8 @@ def shard_numbers(blocks: DataFrame, order: str, size: str, max_count: int,
     value (at most ``min(chunk_blocks, max_count + 1)`` cases); the driver
     follows one entry through the chunks; a second pass numbers the blocks.
     """
-    columns = blocks.columns
+    columns = list(blocks.columns)
+    count = blocks.count()
     numbered = ranked(blocks, [], [order], "_no").withColumn(
         "_chunk", F.floor((F.col("_no") - 1) / chunk_blocks))
 
@@ -125,10 +126,9 @@ def shard_numbers(blocks: DataFrame, order: str, size: str, max_count: int,
                              "open_rows": [open_rows[cut]], "started": [started[cut]],
                              "total": [total[-1]]})
 
-    thin = numbered.select("_chunk", "_no", F.col(size).cast("bigint").alias(size))
-    last = numbered.agg(F.max("_chunk")).first()[0]
     entries = [(0, 0, 1)]
-    if last:
+    if count > chunk_blocks:
+        thin = numbered.select("_chunk", "_no", F.col(size).cast("bigint").alias(size))
         reports = thin.groupBy("_chunk").applyInPandas(
             report, "_chunk bigint, limits array<bigint>, open_rows array<bigint>, "
                     "started array<bigint>, total bigint")
@@ -146,17 +146,15 @@ def shard_numbers(blocks: DataFrame, order: str, size: str, max_count: int,
         pdf = pdf.sort_values("_no")
         held, shard = int(pdf["_held"].iloc[0]), int(pdf["_shard"].iloc[0])
         shards = np.empty(len(pdf), dtype=np.int64)
-        for i, n in enumerate(pdf["_size"].to_numpy(np.int64)):
+        for i, n in enumerate(pdf[size].tolist()):
             held += n
             if held > max_count:
                 held, shard = n, shard + 1
             shards[i] = shard
-        return pdf[["_no"]].assign(shard=shards)
+        return pdf[columns].assign(shard=shards)
 
-    out = T.StructType([T.StructField("_no", T.LongType()), T.StructField("shard", T.LongType())])
-    shards = (thin.withColumnRenamed(size, "_size").join(known, "_chunk")
-              .groupBy("_chunk").applyInPandas(number, out))
-    return numbered.join(shards, "_no").select(*columns, "shard")
+    out = T.StructType([*blocks.schema.fields, T.StructField("shard", T.LongType())])
+    return numbered.join(known, "_chunk").groupBy("_chunk").applyInPandas(number, out)
 
 
 def sharded_text(df: DataFrame, block: str, block_order: str, ord: str, text: str,

@@ -21,7 +21,7 @@ def table(spark):
     return spark.createDataFrame(rows(), "k string, pk bigint, v string").repartition(6)
 
 
-@pytest.mark.parametrize("slice_rows", [None, 64, 200])
+@pytest.mark.parametrize("slice_rows", [skew.SLICE_ROWS, 64, 200])
 @pytest.mark.parametrize("descending", [False, True])
 @pytest.mark.parametrize("keys", [["k"], []])
 def test_ranked(table, slice_rows, descending, keys):
@@ -51,7 +51,7 @@ def test_slices_are_really_cut(table):
     assert sliced.where("not _heavy").where("_slice <> 0").count() == 0
 
 
-@pytest.mark.parametrize("slice_rows", [None, 64])
+@pytest.mark.parametrize("slice_rows", [skew.SLICE_ROWS, 64])
 @pytest.mark.parametrize("keys", [["k"], []])
 def test_with_previous(table, slice_rows, keys):
     got = skew.with_previous(table, {"before": "v"}, keys, ["pk"], slice_rows).collect()
