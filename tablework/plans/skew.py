@@ -40,8 +40,9 @@ def _directed(cols: Sequence[str], descending: bool) -> list[Column]:
 
 
 def _slice_bounds(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                  slice_rows: int) -> DataFrame | None:
+                  slice_rows: int | None) -> DataFrame | None:
     """Sorted slice bounds per heavy key as ``(_h, _bounds)``, None if nothing is heavy."""
+    slice_rows = slice_rows or SLICE_ROWS
     rows = df.count()
     if rows <= slice_rows:
         return None
@@ -83,7 +84,7 @@ def _sliced(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "rank",
-           descending: bool = False, slice_rows: int = SLICE_ROWS) -> DataFrame:
+           descending: bool = False, slice_rows: int | None = None) -> DataFrame:
     """Add ``name`` = 1, 2, ... within the key in the given order.
 
     ``keys`` may be empty for one numbering over the whole table. ``order``
@@ -108,7 +109,7 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str =
 
 
 def with_previous(df: DataFrame, values: dict[str, str], keys: Sequence[str],
-                  order: Sequence[str], slice_rows: int = SLICE_ROWS) -> DataFrame:
+                  order: Sequence[str], slice_rows: int | None = None) -> DataFrame:
     """Add the value each column had in the preceding row (``{new name: column}``).
 
     The extra boolean ``has_previous`` is false for the first row of a key.
@@ -135,8 +136,9 @@ def with_previous(df: DataFrame, values: dict[str, str], keys: Sequence[str],
             .select(*df.columns, *tail))
 
 
-def heavy_hashes(df: DataFrame, keys: Sequence[str], slice_rows: int = SLICE_ROWS) -> list[int]:
+def heavy_hashes(df: DataFrame, keys: Sequence[str], slice_rows: int | None = None) -> list[int]:
     """Hashes of the keys that own more rows than one task should take."""
+    slice_rows = slice_rows or SLICE_ROWS
     rows = df.count()
     if rows <= slice_rows:
         return []
@@ -149,7 +151,7 @@ def heavy_hashes(df: DataFrame, keys: Sequence[str], slice_rows: int = SLICE_ROW
 
 
 def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str,
-                slice_rows: int = SLICE_ROWS) -> DataFrame:
+                slice_rows: int | None = None) -> DataFrame:
     """Join to a side that has **one row per key**, with heavy left keys set apart.
 
     The rows of heavy keys stay where they are and meet a broadcast copy of
