@@ -70,7 +70,8 @@ def file_inventory(spark: SparkSession, root: str, recurse: bool = True, glob: s
     """``(path, length, modificationTime, kind)`` of the files below a folder.
 
     File contents are not read. With ``include_dirs`` every directory that
-    directly holds a listed file is added; empty ones cannot be seen.
+    directly holds a listed file is added. Spark's listing leaves out empty
+    files, names that start with ``_`` or ``.``, and empty directories.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", recurse)
     if glob:

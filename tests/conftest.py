@@ -7,13 +7,14 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from tablework.session import build_session
 
     session = build_session("tests", "local[8]", spark__sql__shuffle__partitions="8",
                             spark__ui__enabled="false", spark__driver__memory="8g",
                             spark__driver__bindAddress="127.0.0.1",
-                            spark__driver__host="127.0.0.1")
+                            spark__driver__host="127.0.0.1",
+                            spark__sql__warehouse__dir=str(tmp_path_factory.mktemp("warehouse")))
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
