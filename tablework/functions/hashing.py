@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DIGITS_36 = "0123456789abcdefghijklmnopqrstuvwxyz"
-
 
 def digest(*parts: Column | str | int) -> Column:
     """MD5 (32 hex digits) of ``part:part:part``."""
@@ -24,9 +22,6 @@ def piece(digest: Column, index: int) -> Column:
 
 
 def base36(digest: Column, at: int, length: int) -> Column:
-    """Base-36 characters, each from two hex digits of the MD5, starting at hex digit ``at``."""
-    chars = [F.substring(F.lit(DIGITS_36),
-                         (F.conv(F.substring(digest, at + 2 * i + 1, 2), 16, 10).cast("int") % 36) + 1,
-                         F.lit(1))
-             for i in range(length)]
-    return F.concat(*chars)
+    """Up to 10 base-36 digits: the last ones of the 56-bit number at hex digit ``at``."""
+    number = F.lower(F.conv(F.substring(digest, at + 1, 14), 16, 36))
+    return F.substring(F.lpad(number, 11, "0"), 12 - length, length)

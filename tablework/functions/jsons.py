@@ -16,17 +16,25 @@ def json_map(col: Column) -> Column:
     return F.from_json(col, "map<string,string>")
 
 
-def _typed_map(col: Column) -> Column:
-    return F.from_json(col, "map<string,variant>")
+def _canonical_values(col: Column) -> Column:
+    """Map of each top-level key to its value as canonical JSON text."""
+    return F.transform_values(F.from_json(col, "map<string,variant>"),
+                              lambda _, value: F.coalesce(F.to_json(value), F.lit("null")))
 
 
-def _differing(own: str, other: str) -> Column:
-    def differs(key: Column, value: Column) -> Column:
-        there = F.col(other)
-        same = F.to_json(value).eqNullSafe(F.to_json(there[key]))
-        return ~F.map_contains_key(there, key) | ~same
+def _json_key(key: Column) -> Column:
+    in_brackets = F.to_json(F.array(key))
+    escaped = F.substring(in_brackets, F.lit(2), F.length(in_brackets) - 2)
+    plain = F.concat(F.lit('"'), key, F.lit('"'))
+    return F.when(key.rlike(r'["\\\x00-\x1f]'), escaped).otherwise(plain)
+
 
-    return json_sort(F.to_json(F.map_filter(own, differs)))
+def _differing(own: str, other: str) -> Column:
+    there = F.col(other)
+    kept = F.map_filter(own, lambda key, text: ~F.map_contains_key(there, key) | (there[key] != text))
+    members = F.transform(F.sort_array(F.map_entries(kept)),
+                          lambda e: F.concat(_json_key(e["key"]), F.lit(":"), e["value"]))
+    return F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
 
 
 def with_json_diff(df: DataFrame, left: str, right: str, left_name: str = "left_diff",
@@ -36,7 +44,7 @@ def with_json_diff(df: DataFrame, left: str, right: str, left_name: str = "left_
     Only top-level keys are told apart; nested values compare by canonical
     text, so their key order does not count. Both results have sorted keys.
     """
-    parsed = df.withColumns({"_lmap": _typed_map(F.col(left)), "_rmap": _typed_map(F.col(right))})
+    parsed = df.withColumns({"_lmap": _canonical_values(F.col(left)), "_rmap": _canonical_values(F.col(right))})
     return (parsed.withColumns({left_name: _differing("_lmap", "_rmap"),
                                 right_name: _differing("_rmap", "_lmap")})
             .drop("_lmap", "_rmap"))

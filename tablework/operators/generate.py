@@ -65,9 +65,11 @@ def random_columns(df: DataFrame, id_col: str, schema: T.StructType, seed: int =
                    ignored: Sequence[str] = ()) -> DataFrame:
     """One random row per id, columns by schema, ignored columns left out."""
     fields = [f for f in schema.fields if f.name not in ignored]
-    return df.select(id_col, *[
-        random_value(f.dataType, digest(seed, F.col(id_col), f.name)).alias(f.name)
-        for f in fields])
+    # One MD5 per value, in a step of its own: the values take several pieces of it.
+    drawn = df.select(id_col, *[digest(seed, F.col(id_col), f.name).alias(f"_md5_{f.name}")
+                                for f in fields])
+    return drawn.select(id_col, *[random_value(f.dataType, F.col(f"`_md5_{f.name}`")).alias(f.name)
+                                  for f in fields])
 
 
 def random_rows(spark: SparkSession, schema: T.StructType, n: int, seed: int = 0,

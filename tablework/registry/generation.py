@@ -14,7 +14,7 @@ def piece(seed: str, i: int) -> str:
 
 def base36(seed: str, at: int, n: int) -> str:
     return (f"array_to_string(list_transform(range({n}), lambda j: substr('0123456789abcdefghijklmnopqrstuvwxyz', "
-            f"(('0x' || substr(md5({seed}), {at} + 2 * j + 1, 2))::int) % 36 + 1, 1)), '')")
+            f"(('0x' || substr(md5({seed}), {at + 1}, 14))::bigint // (36 ** ({n} - 1 - j))::bigint % 36)::int + 1, 1)), '')")
 
 
 def of(name: str) -> str:

@@ -1,6 +1,7 @@
 """Worked examples and edge cases of the operators and functions."""
 
 import datetime
+import json
 from decimal import Decimal
 
 import pytest
@@ -345,3 +346,12 @@ def test_insert_sql_batches(spark):
     assert rows == ["insert into t (id, s) values (0, 'it''s'), (1, 'it''s');",
                     "insert into t (id, s) values (2, 'it''s'), (3, NULL);",
                     "insert into t (id, s) values (4, 'it''s');"]
+
+
+def test_json_diff_of_odd_keys(spark):
+    left = json.dumps({'q"\\\n': 1, "é": [1], "same": {"b": 1, "a": 2}, "a": "t"})
+    right = json.dumps({"same": {"a": 2, "b": 1}, "a": "u"})
+    got = jsons.with_json_diff(spark.createDataFrame([(left, right)], "l string, r string"), "l", "r").first()
+    assert json.loads(got.left_diff) == {'q"\\\n': 1, "é": [1], "a": "t"} and json.loads(got.right_diff) == {"a": "u"}
+    empty = jsons.with_json_diff(spark.createDataFrame([("{}", "{}"), ("[1]", "{}")], "l string, r string"), "l", "r")
+    assert [(r.left_diff, r.right_diff) for r in empty.collect()] == [("{}", "{}"), (None, None)]
