@@ -34,7 +34,8 @@ def _differing(own: str, other: str) -> Column:
     kept = F.map_filter(own, lambda key, text: ~F.map_contains_key(there, key) | (there[key] != text))
     members = F.transform(F.sort_array(F.map_entries(kept)),
                           lambda e: F.concat(_json_key(e["key"]), F.lit(":"), e["value"]))
-    return F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
+    text = F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
+    return F.when(there.isNotNull(), text)
 
 
 def with_json_diff(df: DataFrame, left: str, right: str, left_name: str = "left_diff",
@@ -42,7 +43,8 @@ def with_json_diff(df: DataFrame, left: str, right: str, left_name: str = "left_
     """Add what each of two JSON objects holds that the other lacks or holds differently.
 
     Only top-level keys are told apart; nested values compare by canonical
-    text, so their key order does not count. Both results have sorted keys.
+    text, so their key order does not count (and ``1.0`` equals ``1``). Both
+    results have sorted keys; both are NULL where one side is no object.
     """
     parsed = df.withColumns({"_lmap": _canonical_values(F.col(left)), "_rmap": _canonical_values(F.col(right))})
     return (parsed.withColumns({left_name: _differing("_lmap", "_rmap"),
