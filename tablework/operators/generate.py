@@ -170,17 +170,20 @@ class TableStyle:
         self.extra_column, self.suffix = extra_column, suffix
         self.partition_types, self.seed = list(partition_types), seed
 
-    def with_columns(self, specs: DataFrame, table: str, types: str) -> DataFrame:
+    def with_columns(self, specs: DataFrame, table: str, types: str,
+                     families: bool = False) -> DataFrame:
         """Add ``_columns``: array of ``(name, type, family)``, placeholders
-        filled, equal names told apart."""
+        filled, equal names told apart. The family is there when asked for."""
         def read(raw: Column, i: Column) -> Column:
-            return F.struct(raw.alias("raw"), first_word(raw).alias("word"),
+            word = first_word(raw) if families else F.lit("")
+            return F.struct(raw.alias("raw"), word.alias("word"),
                             fill_type(raw, digest(self.seed, F.col(table), i)).alias("type"))
 
         def name(column: Column) -> Column:
             shown = F.when(column["raw"].isin("set", "enum"), column["type"]).otherwise(column["raw"])
+            family = type_family(column["raw"], column["word"]) if families else F.lit("")
             return F.struct(type_column_name(shown).alias("name"), column["type"].alias("type"),
-                            type_family(column["raw"], column["word"]).alias("family"))
+                            family.alias("family"))
 
         def tell_apart(column: Column, i: Column) -> Column:
             seen = F.size(F.filter(F.slice("_named", F.lit(1), i + 1),
@@ -191,7 +194,9 @@ class TableStyle:
 
         # Lambdas know no common subexpressions: what is used twice is made in a step of its own.
         named = specs.withColumn("_named", F.transform(F.transform(types, read), name))
-        return named.withColumn("_columns", F.transform("_named", tell_apart)).drop("_named")
+        all_differ = F.size(F.array_distinct("_named.name")) == F.size("_named")
+        return named.withColumn("_columns", F.when(all_differ, F.col("_named")).otherwise(
+            F.transform("_named", tell_apart))).drop("_named")
 
     def comment_text(self, table: Column, column: Column) -> Column:
         return interpolate(self.comment, table=table, column=quote_ident(column["name"], self.quote),
@@ -255,7 +260,7 @@ def typed_statements(specs: DataFrame, style: TableStyle | None = None, row_num:
     """
     style = style or TableStyle()
     batches = -(-row_num // batch_size) if row_num > 0 else 0
-    base = style.with_columns(specs, table, types)
+    base = style.with_columns(specs, table, types, families=batches > 0)
     alone = bool(style.comment and style.comment_alone)
     comments = F.size("_columns") if alone else F.lit(0)
     numbered = base.withColumn("statement_no", F.explode_outer(F.sequence(F.lit(0), comments + batches)))

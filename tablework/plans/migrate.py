@@ -76,9 +76,12 @@ class PathStore:
         df.write.format(self.fmt).options(**settings).mode(mode).save(self.path(name))
 
     def swap(self, name: str, df: DataFrame, settings: dict[str, str]) -> None:
-        """Replace a table by rows computed from it: write aside, then copy over."""
-        self.write(f"{name}__next", df, "overwrite", settings)
-        self.write(name, self.read(f"{name}__next"), "overwrite", settings)
+        """Replace a table by rows computed from it: write aside, then copy over.
+
+        The leading underscore keeps the copy out of listings.
+        """
+        self.write(f"_next_{name}", df, "overwrite", settings)
+        self.write(name, self.read(f"_next_{name}"), "overwrite", settings)
 
 
 class CatalogStore:

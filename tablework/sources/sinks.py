@@ -78,6 +78,11 @@ def publish(df: DataFrame, topic: str, payload: str, qos: int = 0, retain: bool
                      F.lit(content_type).alias("content_type"))
 
 
+def send(messages: DataFrame, fmt: str = "parquet", **options: str) -> None:
+    """Append message envelopes to a sink of any installed format."""
+    messages.write.format(fmt).options(**options).mode("append").save()
+
+
 CHUNK_BLOCKS = 100_000
 
 

@@ -138,9 +138,12 @@ def test_sharded_text(spark, tmp_path):
         assert text == [f"s{b}.{i}" for b in map(int, blocks) for i in range(b + 1)]
 
 
-def test_publish(spark):
+def test_publish(spark, tmp_path):
     got = sinks.publish(spark.createDataFrame([("t", "é")], "a string, b string"), "a", "b", qos=2).first()
     assert (got.topic, bytes(got.payload).decode(), got.qos, got.retain) == ("t", "é", 2, False)
+    for _ in range(2):
+        sinks.send(sinks.publish(spark.createDataFrame([("t", "x")], "a string, b string"), "a", "b"), path=str(tmp_path / "q"))
+    assert spark.read.parquet(str(tmp_path / "q")).count() == 2
     with pytest.raises(ValueError):
         sinks.publish(spark.range(1), "id", "id", qos=3)
 
@@ -169,7 +172,7 @@ def test_migrate(spark, tmp_path):
     m.migrate(source, target, include=["two"], merge=True, effect=True)
     assert ids(target, "two") == [0, 1, 7, 8]
     m.migrate(source, target, include=["one"], merge=True, key="id", effect=True)
-    assert ids(target, "one") == [0, 1, 2]
+    assert ids(target, "one") == [0, 1, 2] and target.names() == ["one", "two"]
     m.migrate(source, target, include=["two"], force=True, effect=True)
     assert ids(target, "two") == [0, 1]
     m.migrate(source, target, include=["^t"], rename="concat('new_', it)", meta_only=True, effect=True)
