@@ -91,7 +91,8 @@ class CatalogStore:
         self.spark, self.db, self.fmt = spark, db, fmt
 
     def names(self) -> list[str]:
-        return sorted(t.name for t in self.spark.catalog.listTables(self.db))
+        tables = self.spark.catalog.listTables(self.db)
+        return sorted(t.name for t in tables if not t.isTemporary)
 
     def read(self, name: str) -> DataFrame:
         return self.spark.table(f"{self.db}.`{name}`")

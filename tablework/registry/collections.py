@@ -61,6 +61,7 @@ def _(t):
 def _(t):
     t.orders.createOrReplaceTempView("tablework_orders")
     columns = catalog.table_columns(t.spark, "tablework_orders")
+    t.spark.catalog.dropTempView("tablework_orders")
     return columns.join(catalog.column_counts(t.orders), "column_name")
 
 

@@ -203,6 +203,7 @@ def test_migrate_catalog(spark, tmp_path):
         spark.sql(f"create database {db}")
     spark.range(4).write.saveAsTable("from_db.docs")
     spark.range(0).write.saveAsTable("from_db.none")
+    spark.range(1).createOrReplaceTempView("a_view_of_the_session")
     source, target = m.CatalogStore(spark, "from_db"), m.CatalogStore(spark, "to_db")
     report = m.migrate(source, target, rename="concat('idx_', it)", effect=True, skip_empty=True, key="id",
                        settings={"shards": "3"}).collect()
