@@ -27,8 +27,8 @@ def search_docs(df: DataFrame, authors: Sequence[str] = (), titles: Sequence[str
         found &= F.col(author).isin(*authors)
     if titles:
         found &= F.col(title).isNull() | F.col(title).isin(*titles)
-    for phrase in phrases:
-        found &= F.exists(paragraphs, _containing(phrase))
     if predicate is not None:
         found &= predicate
+    for phrase in phrases:  # last, as the costly part of the test
+        found &= F.exists(paragraphs, _containing(phrase))
     return df.where(found)
