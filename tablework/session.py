@@ -34,8 +34,13 @@ def build_session(app: str = "tablework", master: str | None = None, **conf: str
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the folder every executor can reach.
 
-    The cluster names that folder in ``spark.checkpoint.dir``; only where the
-    setting is absent (a local test session) a temporary folder stands in.
+    The cluster names that folder in ``spark.checkpoint.dir``. Only in a session whose executors are threads
+    of the driver (master ``local``) does a temporary folder stand in for it; elsewhere it is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tablework-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tablework-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
