@@ -8,6 +8,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame
@@ -38,6 +39,7 @@ class Encoder:
         self.tiktoken = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.n_vocab = max(ranks.values()) + 1
         self.known: dict[str, list[int]] = {}
+        self.known_bytes: dict[str, dict[str, bytes]] = {}
 
     def parts(self, text: str) -> Iterator[str]:
         """Consecutive parts of a long text, cut at boundaries of the pattern where there are any."""
@@ -73,6 +75,24 @@ class Encoder:
             out += ids
         return out
 
+    def encode_bytes(self, text: str, dtype: str) -> bytes:
+        """The ids as little-endian integers, one after the other."""
+        if UNSAFE.search(text):
+            return np.array(self.encode(text), dtype).tobytes()
+        known, encode = self.known_bytes.setdefault(dtype, {}), self.tiktoken.encode_ordinary
+        first, *rest = text.split(" ")
+        out = [np.array(encode(first), dtype).tobytes()]
+        for piece in rest:
+            ids = known.get(piece)
+            if ids is None:
+                ids = np.array(encode(" " + piece), dtype).tobytes()
+                if len(piece) < 64:
+                    if len(known) >= CACHE_PIECES:
+                        known.clear()
+                    known[piece] = ids
+            out.append(ids)
+        return b"".join(out)
+
     def decode(self, ids: list[int]) -> bytes:
         return self.tiktoken.decode_bytes(ids)
 

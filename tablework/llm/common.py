@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +17,22 @@ WORD = rf"[^{SPACE}]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once a session, for the functions that run in Python there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tablework_sent", False):
+        return
+    top = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    path = os.path.join(tempfile.mkdtemp(), "tablework.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(os.path.join(top, "tablework")):
+            for name in names:
+                if name.endswith(".py"):
+                    z.write(os.path.join(folder, name), os.path.relpath(os.path.join(folder, name), top))
+    sc.addPyFile(path)
+    sc._tablework_sent = True
+
+
 def scratch(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """``df`` written to the shared folder and read again, which cuts its lineage.
 
@@ -84,7 +104,7 @@ def components(links: DataFrame) -> DataFrame:
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")) if large \
+        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")) if large \
             else both.groupBy("u").agg(F.min("v").alias("m"))
         joined = both.join(low, "u")
         if large:  # larger neighbours move to the smallest of the neighbourhood

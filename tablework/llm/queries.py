@@ -8,12 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablework.llm import bpe, exact, lines
+from tablework.llm import bpe, embedding_dedup, exact, langid, lines, mixing, ngram_join, packing
+from tablework.llm.common import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: The vocabulary of the language ID.
+PIECES = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
 def query(name: str, sql: str | None = None):
@@ -26,9 +29,70 @@ def query(name: str, sql: str | None = None):
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@query("op1_pack_tokens")
+def op1_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_texts(documents(spark, sf_dir), RANKS, public_tokenizers.PATTERN, seq_len=2048, eos_id=50256)
+
+
+@query("op2_mix_sources", r"""
+with d as (
+    select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+           md5('mix' || coalesce(cast(doc_id as varchar), '')) as key
+    from documents),
+s as (select source, cast(sum(size) as double) as source_size from d group by source),
+w as (
+    select *, [1.0, 2.0, 3.0][(row_number() over (order by source nulls last) - 1) % 3 + 1]::double as weight,
+           row_number() over (order by source nulls last) as rank, 3 * source_size as cap,
+           sum(source_size) over () as total
+    from s),
+o as (
+    select *, sum(weight) over () as weights,
+           coalesce(sum(cap) over (order by cap / weight, rank rows between unbounded preceding and 1 preceding), 0) as caps,
+           coalesce(sum(weight) over (order by cap / weight, rank rows between unbounded preceding and 1 preceding), 0) as ws
+    from w),
+f as (select *, (total - caps) * weight > cap * (weights - ws) as stopped from o),
+t as (
+    select source, source_size, total, case when stopped then cap else
+           weight * (total - coalesce(sum(cap) filter (stopped) over (), 0)) / (weights - coalesce(sum(weight) filter (stopped) over (), 0)) end as target
+    from f),
+q as (
+    select d.doc_id, d.source, d.size, d.key, t.source_size, t.target, t.total,
+           sum(d.size) over (partition by d.source order by d.key, d.doc_id, d.size rows unbounded preceding) as upto
+    from d join t on t.source is not distinct from d.source),
+c as (
+    select *, cast(e * source_size + upto as double) / target as finish
+    from q cross join (select unnest([0, 1, 2]) as e) where size > 0),
+r as (select *, sum(size) over (order by finish, source nulls first, key, doc_id, size, e rows unbounded preceding) as so_far from c),
+n as (select doc_id, count(*) filter (so_far <= total) as copies from r group by doc_id)
+select q.doc_id, q.source, cast(q.size as bigint) as size, cast(q.source_size as bigint) as source_size, q.target,
+       cast(coalesce(n.copies, 0) * q.size as bigint) as taken
+from q left join n on n.doc_id = q.doc_id
+""")
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(documents(spark, sf_dir))
+
+
+@query("op3_ngram_join")
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_groups(documents(spark, sf_dir))
+
+
+@query("op4_language_id")
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).withColumn("held_out", langid.held_out())
+    return langid.identify(docs, PIECES).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op5_embedding_dedup")
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return embedding_dedup.similar_groups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 @query("op8_bpe_round_trip")
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), RANKS, public_tokenizers.PATTERN)
