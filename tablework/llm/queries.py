@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablework.llm import bpe, embedding_dedup, exact, langid, lines, mixing, ngram_join, packing
-from tablework.llm.common import ship
+from tablework.llm import bpe, embedding_dedup, exact, langid, licenses, lines, mixing, ngram_join, packing, tool_calls
+from tablework.llm.common import UPPER, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,6 +93,118 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.similar_groups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+#: Schemas of the tools that the derived calls name; ``report`` has none.
+TOOLS = [("search", [("query", "string", True), ("limit", "integer", False)]),
+         ("lookup", [("key", "string", True), ("exact", "boolean", True)]),
+         ("store", [("text", "string", True), ("size", "integer", True)])]
+
+
+def derived_calls(turns: DataFrame) -> DataFrame:
+    """Tool calls made from ``conversations``: each assistant turn is one, with the text in its arguments.
+
+    Every third conversation's log is in reverse order. A call needs the one two turns before, at turns 5 and 6 also
+    the one four turns before, whether or not there are such calls.
+    """
+    made = turns.where("role = 'assistant'").withColumn("name", F.element_at(
+        F.array(*[F.lit(x) for x in ("search", "lookup", "store", "report")]), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(4)) + 1).cast("int")))
+    exact = F.when(F.pmod("turn", F.lit(5)) == 0, F.lit('"yes"')).otherwise(F.lit("true"))
+    text = F.regexp_replace(F.to_json(F.array("text")), r"^\[|\]$", "")
+    arguments = F.when(F.col("name") == "search", F.concat(F.lit('{"query":'), text, F.lit(', "limit":'), F.col("turn").cast("string"), F.lit("}"))) \
+        .when(F.col("name") == "lookup", F.concat(F.lit('{"key":'), text, F.lit(', "exact":'), exact, F.lit("}"))) \
+        .when((F.col("name") == "store") & (F.pmod("conv_id", F.lit(7)) == 0), F.concat(F.lit('{"text":'), text, F.lit("}"))) \
+        .when(F.col("name") == "store", F.concat(F.lit('{"text":'), text, F.lit(', "size":'), F.length("text").cast("string"), F.lit("}"))) \
+        .otherwise(F.concat(F.lit("{"), F.col("text")))
+    ids = F.array(*[F.concat(F.lit("c"), (F.col("turn") - back).cast("string")) for back in (2, 4)])
+    needs = F.when(F.col("turn") < 2, F.slice(ids, 1, 0)).when(F.col("turn").isin(5, 6), ids).otherwise(F.slice(ids, 1, 1))
+    seq = F.when(F.pmod("conv_id", F.lit(3)) == 0, -F.col("turn")).otherwise(F.col("turn"))
+    return made.select("conv_id", F.concat(F.lit("c"), F.col("turn").cast("string")).alias("call_id"), seq.alias("seq"), "name",
+                       arguments.alias("arguments"), needs.alias("needs"))
+
+
+def derived_results(turns: DataFrame) -> DataFrame:
+    """Tool results made from ``conversations``: each user turn answers the call of the turn before, if there is one."""
+    return turns.where("role = 'user' and turn > 0").select(
+        "conv_id", F.concat(F.lit("c"), (F.col("turn") - 1).cast("string")).alias("call_id"), F.col("turn").alias("seq"), F.col("text").alias("content"))
+
+
+@query("op6_tool_calls", r"""
+with recursive calls as (
+    select conv_id, turn, 'c' || turn as call_id, case when conv_id % 3 = 0 then -turn else turn end as seq, text,
+           ['search', 'lookup', 'store', 'report'][(conv_id + turn) % 4 + 1] as name
+    from conversations where role = 'assistant'),
+results as (
+    select conv_id, 'c' || (turn - 1) as call_id, turn as seq, text as content
+    from conversations where role = 'user' and turn > 0),
+needs as (
+    select c.conv_id, c.call_id, 'c' || (turn - back) as need from calls c, (select unnest([2, 4]) as back)
+    where turn >= 2 and (back = 2 or turn in (5, 6))),
+known as (select n.* from needs n join calls c on c.conv_id = n.conv_id and c.call_id = n.need),
+paths as (
+    select conv_id, call_id, 0 as depth from calls
+    union select k.conv_id, k.call_id, p.depth + 1 from paths p join known k on k.conv_id = p.conv_id and k.need = p.call_id),
+levels as (select conv_id, call_id, max(depth) as level from paths group by all),
+missing as (
+    select n.conv_id, n.call_id, string_agg('needs unknown call ' || n.need, '; ' order by n.need) as text
+    from needs n left join calls c on c.conv_id = n.conv_id and c.call_id = n.need where c.call_id is null group by all),
+full_rows as (
+    select coalesce(c.conv_id, r.conv_id) as conv_id, coalesce(c.call_id, r.call_id) as call_id, l.level, coalesce(c.seq, r.seq) as seq,
+           c.name, c.turn, c.text, r.content, m.text as missing
+    from calls c full join results r on r.conv_id = c.conv_id and r.call_id = c.call_id
+    left join levels l on l.conv_id = c.conv_id and l.call_id = c.call_id
+    left join missing m on m.conv_id = c.conv_id and m.call_id = c.call_id)
+select conv_id, call_id, cast(level as int) as level, seq, name,
+       case when name is null then 'no call' when content is null then 'no result' else 'linked' end as status,
+       concat_ws('; ', case when name = 'report' then 'unknown tool'
+            when name = 'lookup' and turn % 5 = 0 then 'exact is string, not boolean'
+            when name = 'store' and conv_id % 7 = 0 then 'missing size' end, missing) as errors,
+       case when name is not null then '{"arguments":' || case name
+            when 'search' then '{"limit":' || turn || ',"query":' || to_json(text) || '}'
+            when 'lookup' then '{"exact":' || case when turn % 5 = 0 then '"yes"' else 'true' end || ',"key":' || to_json(text) || '}'
+            when 'store' then case when conv_id % 7 = 0 then '{' else '{"size":' || length(text) || ',' end || '"text":' || to_json(text) || '}'
+            else to_json('{' || text) end || ',"id":"' || call_id || '","name":"' || name || '","type":"tool_call"}' end as call_json,
+       case when content is not null then '{"content":' || to_json(content) || ',"id":"' || call_id || '","type":"tool_result"}' end as result_json
+from full_rows
+""")
+def op6_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    tools = spark.createDataFrame(TOOLS, "name string, params array<struct<name:string,type:string,required:boolean>>")
+    return tool_calls.link_tool_calls(derived_calls(turns), derived_results(turns), tools) \
+        .withColumn("errors", F.array_join("errors", "; "))
+
+
+def _license_sql() -> str:
+    """The canonical form in DuckDB, with the same fixed values."""
+    def lines(text: str) -> str:
+        owner, marks = licenses.OWNER_LINE, licenses.PUNCTUATION
+        text = f"translate(coalesce({text}, ''), '{UPPER}', '{UPPER.lower()}')"
+        text = f"regexp_replace(regexp_replace({text}, '{owner}', '\\1', 'g'), '{marks}', '  ', 'g')"
+        text = f"regexp_replace('  ' || {text} || '  ', ' *\\n[ \\n]*', '  ' || chr(10) || '  ', 'g')"
+        for variant, usual in licenses.SPELLINGS:
+            text = f"replace({text}, ' {variant} ', ' {usual} ')"
+        return f"replace({text}, '  ', ' ')"
+
+    one_line = "trim(regexp_replace({}, '[ \\n]+', ' ', 'g'))"
+    texts = [(k, t) for k, t in licenses.LICENSES.items()] + [(k, t) for k, ts in licenses.NOTICES.items() for t in ts]
+    values = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in texts)
+    return f"""
+with known as (
+    select c, min(license_id) as license_id from (
+        select license_id, {one_line.format(lines("text"))} as c from (values {values}) as v(license_id, text))
+    group by c),
+d as (select doc_id, {lines("text")} as l from documents),
+n as (
+    select doc_id, string_agg(distinct license_id, ',' order by license_id) as notices
+    from (select doc_id, trim(unnest(string_split(l, chr(10)))) as line from d) x join known on known.c = x.line group by doc_id)
+select d.doc_id, sha256({one_line.format("d.l")}) as canonical_sha256, k.license_id, coalesce(n.notices, '') as notices
+from d left join known k on k.c = {one_line.format("d.l")} left join n on n.doc_id = d.doc_id
+"""
+
+
+@query("op7_license_scan", _license_sql())
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(documents(spark, sf_dir), licenses.known_licenses(spark))
+
+
 @query("op8_bpe_round_trip")
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), RANKS, public_tokenizers.PATTERN)
