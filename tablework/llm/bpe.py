@@ -97,6 +97,17 @@ class Encoder:
         return self.tiktoken.decode_bytes(ids)
 
 
+def text_of(x: pa.Scalar) -> str:
+    """A text from its bytes; null is empty, and bytes that aren't UTF-8 are U+FFFD."""
+    return x.as_buffer().to_pybytes().decode("utf-8", "replace") if x.is_valid else ""
+
+
+def id_lists(raw: list[bytes]) -> pa.Array:
+    """An array of lists of int32 from the ids of each row as bytes."""
+    ends = np.cumsum([0, *(len(x) // 4 for x in raw)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(raw), "<i4")))
+
+
 @lru_cache(maxsize=2)
 def encoder(rank_file: str, pattern: str) -> Encoder:
     """One encoder per worker process."""
@@ -117,8 +128,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(rank_file, pattern)
         for batch in batches:
-            texts = (x.as_buffer().to_pybytes().decode("utf-8", "replace") if x.is_valid else "" for x in batch.column(text_at))
-            ids = pa.array([enc.encode(t) for t in texts], pa.list_(pa.int32()))
+            ids = id_lists([enc.encode_bytes(text_of(x), "<i4") for x in batch.column(text_at)])
             yield pa.RecordBatch.from_arrays([*batch.columns[:text_at], ids], [*kept, out])
 
     given = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("binary").alias("_bytes"))
@@ -141,28 +151,33 @@ def decode(docs: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids",
 
 
 def round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id",
-               text_col: str = "text") -> DataFrame:
-    """Encode each whole text and decode its ids again: id, n_tokens, ids_sha256, decoded_sha256.
+               text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encode each whole text and decode its ids again: id, n_tokens, ids_sha256, decoded_sha256, and ids if asked for.
 
     ``ids_sha256`` is the digest of the decimal ids joined by one blank, ``decoded_sha256`` that of the decoded
     bytes; both in lower-case hex. Null text counts as empty. One row out for each row in, repeated ones too.
-    The ids don't leave the worker, so that a digest of a corpus costs no row of ids.
+    Other columns are not read. No shuffle; a worker holds one batch of rows.
     """
     given = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").cast("binary").alias("_bytes"))
-    schema = given.select(id_col).withColumns({
-        "n_tokens": F.lit(0).cast("long"), "ids_sha256": F.lit(""), "decoded_sha256": F.lit("")}).schema
+    made = {"n_tokens": F.lit(0).cast("long"), "ids_sha256": F.lit(""), "decoded_sha256": F.lit("")}
+    if with_ids:
+        made["ids"] = F.lit(None).cast("array<int>")
+    schema = given.select(id_col).withColumns(made).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(rank_file, pattern)
         names = [str(i) for i in range(enc.n_vocab)]
         for batch in batches:
-            n, a, b = [], [], []
+            n, a, b, kept = [], [], [], []
             for x in batch.column(1):
-                ids = enc.encode(x.as_buffer().to_pybytes().decode("utf-8", "replace") if x.is_valid else "")
+                raw = enc.encode_bytes(text_of(x), "<i4")
+                ids = np.frombuffer(raw, "<i4").tolist()
                 n.append(len(ids))
                 a.append(hashlib.sha256(" ".join([names[i] for i in ids]).encode()).hexdigest())
                 b.append(hashlib.sha256(enc.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], schema.names)
+                if with_ids:
+                    kept.append(raw)
+            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+            yield pa.RecordBatch.from_arrays([*columns, id_lists(kept)] if with_ids else columns, schema.names)
 
     return given.mapInArrow(run, schema)

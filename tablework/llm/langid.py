@@ -193,16 +193,18 @@ def train(docs: DataFrame, rank_file: str, text_col: str = "text", lang_col: str
     return {r["lang"]: np.frombuffer(r["p"], "<f4").astype(float) for r in sorted(fitted) if r["words"]}
 
 
-def predict(docs: DataFrame, model: dict[str, np.ndarray], rank_file: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` for each whole text; the text is the only input.
+def predict(docs: DataFrame, model: dict[str, np.ndarray], rank_file: str, text_col: str = "text",
+            lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+    """``docs`` with ``lang_out`` and ``score_out`` for each whole text; the text is the only input.
 
     The score is the probability of the language given the text among those learned, all equally likely
     before. A text that is null or has no letters, and any text under an empty model, is ``und`` with score 0. Equal
-    scores go to the first language by code point. No shuffle; other columns pass through.
+    scores go to the first language by code point. No shuffle; other columns pass through, but for columns of the
+    two new names, which are replaced.
     """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c not in (lang_out, score_out)]
     schema = docs.select(*[F.col(f"`{c}`") for c in kept]) \
-        .withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+        .withColumns({lang_out: F.lit(""), score_out: F.lit(0.0)}).schema
     langs = sorted(model)
     table = np.append(np.stack([model[x] for x in langs], 1), np.zeros((1, len(langs))), 0) if langs else None
     shared = docs.sparkSession.sparkContext.broadcast(table)

@@ -153,8 +153,7 @@ def pack_texts(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc
         end = np.array([eos_id], dtype).tobytes()
 
         def ids(x: pa.Scalar) -> np.ndarray:
-            text = x.as_buffer().to_pybytes().decode("utf-8", "replace") if x.is_valid else ""
-            return np.frombuffer(enc.encode_bytes(text, dtype) + end, dtype)
+            return np.frombuffer(enc.encode_bytes(bpe.text_of(x), dtype) + end, dtype)
         return ids
 
     return _packed(given, ids_of, seq_len, eos_id, dtype, hold_tokens)
