@@ -5,11 +5,12 @@ import os
 import pytest
 
 import __spark_entry__ as entry
+from tablework import registry
 from tablework.plans import skew
 from tests import oracle
 
 SF = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = registry.QUERIES, registry.ORACLES
 
 # Queries whose plan ranks, looks back or looks up, and so has a form for heavy keys.
 SLICED = ["duplicate_rows", "group_members", "rename_duplicates_seq", "rename_duplicates_all",
@@ -46,6 +47,10 @@ def test_every_sql_has_a_query():
     assert set(QUERIES) - set(SQL) == {"rename_duplicates_uuid", "file_inventory"}
 
 
+def test_entry_has_all():
+    assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
+
+
 def test_entry(spark):
     rows = entry.entry(spark)
     assert rows.columns == ["p_partkey", "old_value", "new_value"] and rows.count() > 0
