@@ -122,32 +122,31 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text"
     except one named ``out``, which is replaced.
     """
     kept = [c for c in docs.columns if c != out]
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn(out, F.lit(None).cast("array<int>")).schema
-    text_at = len(kept)
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    schema = given.select("row").withColumn("new", F.lit(None).cast("array<int>")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(rank_file, pattern)
         for batch in batches:
-            ids = id_lists([enc.encode_bytes(text_of(x), "<i4") for x in batch.column(text_at)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:text_at], ids], [*kept, out])
+            ids = id_lists([enc.encode_bytes(text_of(x), "<i4") for x in batch.column(1)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids], ["row", "new"])
 
-    given = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("binary").alias("_bytes"))
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(run, schema).select("row.*", F.col("new").alias(out))
 
 
 def decode(docs: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids", out: str = "bytes") -> DataFrame:
     """``docs`` with ``out``, the raw bytes that ``ids_col`` stands for; null ids give null."""
     kept = [c for c in docs.columns if c != out]
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).withColumn(out, F.lit(None).cast("binary")).schema
-    ids_at = kept.index(ids_col)
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{ids_col}`").alias("ids"))
+    schema = given.select("row").withColumn("new", F.lit(None).cast("binary")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(rank_file, pattern)
         for batch in batches:
-            raw = [None if x is None else enc.decode(x) for x in batch.column(ids_at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], [*kept, out])
+            raw = [None if x is None else enc.decode(x) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], ["row", "new"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
+    return given.mapInArrow(run, schema).select("row.*", F.col("new").alias(out))
 
 
 def round_trip(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id",

@@ -79,7 +79,7 @@ def fit_cells(reps: DataFrame, cell_rows: int, most_cells: int, sample_rows: int
     for dim, n in counts.items():
         share = F.when(F.col("dim") == dim, F.lit(min(1.0, sample_rows / n))).otherwise(share)
 
-    def fit(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["d1", "d2"])
         x = unit(np.stack([np.frombuffer(r, "<f8") for r in frame["raw"]]))
         k = min(max(1, math.ceil(counts[key[0]] / cell_rows)), most_cells, len(x))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablework.llm.common import SPACE, clear_names
+from tablework.llm.common import SPACE, boxed, clear_names
 
 
 def normalised(text):
@@ -22,8 +22,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Three combining stages, each grouping by digest *and* full text: (1) inside each task, before any shuffle;
     (2) per digest and salt, so that a text that makes up a third of all rows meets in ``salts`` places; (3)
     the winners of the salts, at most ``salts`` rows a text. The rows then take their group's winner by
-    digest, a second hash and length; that join has one row per group on its right side, and adaptive execution splits its left side
-    where a group is hot.
+    digest, a second hash and length; that join has one row per group on its right side, and adaptive execution
+    splits its left side where a group is hot.
 
     Null text counts as empty. A null id never wins over another one; rows of null ids alone stay, with a null
     keep_id. Rows of equal id and equal text are one document: all of them are marked alike. An empty
@@ -46,7 +46,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
     """The rows of ``docs`` that stay: of equal texts, those with the smallest id."""
     groups = exact_groups(docs, id_col, text_col, salts).where("kept") \
-        .select(F.col(id_col).alias("_keep"), F.col("text_sha256").alias("_sha")).distinct()
-    mine = docs.withColumn("_sha", F.sha2(normalised(F.col(text_col)), 256))
-    return mine.join(groups, (mine[id_col].eqNullSafe(groups["_keep"])) & (mine["_sha"] == groups["_sha"]),
-                     "left_semi").drop("_sha")
+        .select(F.col(f"`{id_col}`").alias("keep"), F.col("text_sha256").alias("keep_sha")).distinct()
+    mine = boxed(docs, id=id_col, text=text_col).withColumn("sha", F.sha2(normalised(F.col("text")), 256))
+    return mine.join(groups, F.expr("id <=> keep and sha = keep_sha"), "left_semi").select("row.*")

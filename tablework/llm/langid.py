@@ -182,7 +182,7 @@ def train(docs: DataFrame, rank_file: str, text_col: str = "text", lang_col: str
         share = F.when(F.col("lang") == row["lang"], F.lit(min(1.0, sample_chars / max(row["n"], 1)))).otherwise(share)
     drawn = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) < share * F.lit(float(1 << 30))
 
-    def one(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         counts: Counter = Counter()
         for text in frame["text"]:
             counts.update(letter_runs(text))
@@ -203,8 +203,8 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], rank_file: str, text_
     two new names, which are replaced.
     """
     kept = [c for c in docs.columns if c not in (lang_out, score_out)]
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]) \
-        .withColumns({lang_out: F.lit(""), score_out: F.lit(0.0)}).schema
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    schema = given.select("row").withColumns({"lang": F.lit(""), "score": F.lit(0.0)}).schema
     langs = sorted(model)
     table = np.append(np.stack([model[x] for x in langs], 1), np.zeros((1, len(langs))), 0) if langs else None
     shared = docs.sparkSession.sparkContext.broadcast(table)
@@ -242,7 +242,7 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], rank_file: str, text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names, scores, chunk, chars = [], [], [], 0
-            for x in batch.column(len(kept)):
+            for x in batch.column(1):
                 text = x.as_buffer().to_pybytes().decode("utf-8", "replace") if x.is_valid else None
                 chunk.append(text)
                 chars += len(text or "")
@@ -252,11 +252,9 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], rank_file: str, text_
                     chunk, chars = [], 0
             for out, new in zip((names, scores), judge(chunk)):
                 out += new
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:len(kept)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema.names)
 
-    given = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").cast("binary").alias("_bytes"))
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(run, schema).select("row.*", F.col("lang").alias(lang_out), F.col("score").alias(score_out))
 
 
 def held_out(id_col: str = "doc_id"):

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablework.llm.common import ascii_lower, clear_names, remove, scratch, shuffle_partitions
+from tablework.llm.common import ascii_lower, boxed, clear_names, remove, scratch, shuffle_partitions
 from tablework.session import shared_path
 
 #: The characters of the contract's white space that can stand at the end of a line.
@@ -124,22 +124,25 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     by 128 hash bits.
     """
     docs = docs.drop("_lines")
-    drops = dropped_lines(docs, id_col, text_col, min_chars, batches).groupBy(F.col("id").alias("_id")) \
-        .agg(F.collect_set(F.struct("h1", "h2")).alias("_drops"))
-    text, has = F.coalesce(F.col("_text"), F.lit("")), F.col("_drops").isNotNull()
-    lines, low = split_lines(text), split_lines(ascii_lower(text))
-    pairs = F.arrays_zip(lines.alias("line"), low.alias("low"))
+    cut = kept_lines(docs, id_col, text_col, min_chars, batches)
+    return cut.select("row.*", F.struct("n_lines", "n_dropped", "kept").alias("_lines"))
+
+
+def kept_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, batches: int) -> DataFrame:
+    """(row, n_lines, n_dropped, kept), ``row`` being the input row."""
+    drops = dropped_lines(docs, id_col, text_col, min_chars, batches).groupBy(F.col("id").alias("drop_id")) \
+        .agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
+    text = F.coalesce("text", F.lit(""))
+    pairs = F.arrays_zip(split_lines(text).alias("line"), split_lines(ascii_lower(text)).alias("low"))
     stays = F.filter(pairs, lambda p: (F.char_length(F.btrim(p["low"], F.lit(BLANKS))) < min_chars)
-                     | ~F.array_contains(F.col("_drops"), line_hash(p["low"])))
-    left = docs.withColumn("_text", F.col(f"`{text_col}`")).withColumn("_own", F.col(f"`{id_col}`"))
-    joined = left.join(drops, left["_own"].eqNullSafe(drops["_id"]), "left")
+                     | ~F.array_contains(F.col("drops"), line_hash(p["low"])))
     n = F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    cut = joined.withColumn("_stay", F.when(has, stays))
-    return cut.withColumn("_lines", F.struct(
-        n.cast("long").alias("n_lines"),
-        F.coalesce(n - F.size("_stay"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(has, F.array_join(F.col("_stay.line"), "\n")).otherwise(text).alias("kept"))) \
-        .select(*[F.col(f"`{c}`") for c in docs.columns], "_lines")
+    has = F.col("drops").isNotNull()
+    return boxed(docs, id=id_col, text=text_col).join(drops, F.expr("id <=> drop_id"), "left") \
+        .withColumn("stay", F.when(has, stays)).select(
+            "row", n.cast("long").alias("n_lines"),
+            F.coalesce(n - F.size("stay"), F.lit(0)).cast("long").alias("n_dropped"),
+            F.when(has, F.array_join(F.col("stay.line"), "\n")).otherwise(text).alias("kept"))
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10,
@@ -148,10 +151,9 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Untouched rows, null texts too, stay as they are.
     """
-    done = line_dedup(docs, id_col, text_col, min_chars, batches)
-    cut = F.col("_lines.n_dropped") > 0
-    new = {text_col: F.when(cut, F.col("_lines.kept")).otherwise(F.col(f"`{text_col}`"))}
+    cut, changed = kept_lines(docs, id_col, text_col, min_chars, batches), F.col("n_dropped") > 0
+    new = {text_col: F.col("kept")}
     if chars_col in docs.columns:
-        new[chars_col] = F.when(cut, F.char_length("_lines.kept").cast(docs.schema[chars_col].dataType)) \
-            .otherwise(F.col(f"`{chars_col}`"))
-    return done.withColumns(new).select(*[F.col(f"`{c}`") for c in docs.columns])
+        new[chars_col] = F.char_length("kept").cast(docs.schema[chars_col].dataType)
+    old = {c: F.col("row")[c] for c in docs.columns}
+    return cut.select(*[(F.when(changed, new[c]).otherwise(old[c]) if c in new else old[c]).alias(c) for c in docs.columns])

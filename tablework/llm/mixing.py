@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tablework.llm.common import WORD, clear_names, running_sum, scratch
+from tablework.llm.common import WORD, boxed, clear_names, running_sum, scratch
 
 
 def word_count(text):
@@ -98,10 +98,8 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3) -> DataFrame:
     """``docs`` as mixed: each row as many times as the mix takes it, with all its columns."""
-    sized = docs.withColumn("_size", word_count(F.col(f"`{text_col}`")))
-    rows = clear_names(sized, id_col, source_col, "_size").toDF("id", "source", "size")
-    plan = mix_sizes(rows, weights, epochs).where("copies > 0") \
-        .select(F.col("id").alias("_pid"), F.col("source").alias("_psource"), F.col("size").alias("_psize"), "copies")
-    same = sized[id_col].eqNullSafe(plan["_pid"]) & sized[source_col].eqNullSafe(plan["_psource"]) & (sized["_size"] == plan["_psize"])
-    return sized.join(plan, same).withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("copies")))) \
-        .select(*[sized[f"`{c}`"] for c in docs.columns])
+    sized = boxed(docs, id=id_col, source=source_col, text=text_col).withColumn("size", word_count(F.col("text")))
+    plan = mix_sizes(sized.select("id", "source", "size"), weights, epochs).where("copies > 0") \
+        .select(F.col("id").alias("of_id"), F.col("source").alias("of_source"), F.col("size").alias("of_size"), "copies")
+    return sized.join(plan, F.expr("id <=> of_id and source <=> of_source and size = of_size")) \
+        .select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
