@@ -86,7 +86,9 @@ def quoted(text: Column) -> Column:
 
 def sql_literal(col: Column, dtype: T.DataType) -> Column:
     """The value as SQL literal text; NULL stays the bare word."""
-    if isinstance(dtype, (T.FloatType, T.DoubleType, T.DecimalType)):
+    if isinstance(dtype, T.DecimalType):  # not by way of double, which has 15 digits
+        text = F.round(col, 2).cast("decimal(38,2)").cast("string")
+    elif isinstance(dtype, (T.FloatType, T.DoubleType)):
         text = F.format_string("%.2f", col.cast("double"))
     elif isinstance(dtype, T.IntegralType):
         text = col.cast("string")
@@ -97,7 +99,7 @@ def sql_literal(col: Column, dtype: T.DataType) -> Column:
     elif isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
         text = quoted(F.date_format(col, "yyyy-MM-dd HH:mm:ss"))
     elif isinstance(dtype, T.BinaryType):
-        text = quoted(F.decode(col, "UTF-8"))
+        text = quoted(F.make_valid_utf8(col.cast("string")))
     elif isinstance(dtype, (T.StringType, T.CharType, T.VarcharType)):
         text = quoted(col)
     else:
@@ -124,5 +126,5 @@ def interpolate(template: str, **values: Column) -> Column:
 
 
 def payload_text(payload: Column) -> Column:
-    """Message bytes as UTF-8 text."""
-    return F.decode(payload, "UTF-8")
+    """Message bytes as UTF-8 text; bytes that aren't UTF-8 become U+FFFD, so that no message can stop a stream."""
+    return F.make_valid_utf8(payload.cast("string"))

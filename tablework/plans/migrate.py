@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.errors import AnalysisException
@@ -55,19 +56,22 @@ class PathStore:
     def path(self, name: str) -> str:
         return f"{self.base}/{name}{self.suffix}"
 
+    def folder(self, path: str):
+        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
     def names(self) -> list[str]:
-        """The given names, or those of everything found below the path."""
+        """The given names, or those of everything right below the path, whatever they begin with.
+
+        One level of the file system is listed; none is there only where the path itself is absent.
+        """
         if self.known is not None:
             return list(self.known)
-        files = (self.spark.read.format("binaryFile").option("recursiveFileLookup", True)
-                 .option("ignoreMissingFiles", True))
-        try:
-            paths = files.load(self.base).select("path")
-        except AnalysisException:
+        at, fs = self.folder(self.base)
+        if not fs.exists(at):
             return []
-        tail = F.regexp_extract("path", rf"^.*?\Q{self.base}\E/([^/]+)", 1)
-        found = {r[0] for r in paths.select(tail).distinct().collect()}
-        return sorted(n.removesuffix(self.suffix) for n in found if n and n.endswith(self.suffix))
+        found = {f.getPath().getName() for f in fs.listStatus(at)}
+        return sorted(n.removesuffix(self.suffix) for n in found if n.endswith(self.suffix))
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.format(self.fmt).load(self.path(name))
@@ -76,12 +80,21 @@ class PathStore:
         df.write.format(self.fmt).options(**settings).mode(mode).save(self.path(name))
 
     def swap(self, name: str, df: DataFrame, settings: dict[str, str]) -> None:
-        """Replace a table by rows computed from it: write aside, then copy over.
+        """Replace a table by rows computed from it: write aside, then change names.
 
-        The leading underscore keeps the copy out of listings.
+        The old table is moved away and deleted last, so that a failure on the way loses neither; nothing of
+        the change stays behind. A reader meets the old table, the new one, or for a moment none.
         """
-        self.write(f"_next_{name}", df, "overwrite", settings)
-        self.write(name, self.read(f"_next_{name}"), "overwrite", settings)
+        aside = f"{self.base}/.swap-{uuid.uuid4().hex}"
+        df.write.format(self.fmt).options(**settings).save(f"{aside}/new")
+        here, fs = self.folder(self.path(name))
+        new, old = (self.folder(f"{aside}/{x}")[0] for x in ("new", "old"))
+        if not fs.rename(here, old):
+            raise OSError(f"{self.path(name)} can't be moved away")
+        if not fs.rename(new, here):
+            fs.rename(old, here)
+            raise OSError(f"the new {self.path(name)} can't be moved in")
+        fs.delete(self.folder(aside)[0], True)
 
 
 class CatalogStore:
@@ -104,26 +117,28 @@ class CatalogStore:
             self.spark.sql(f"alter table {self.db}.`{name}` set tblproperties ({pairs})")
 
     def swap(self, name: str, df: DataFrame, settings: dict[str, str]) -> None:
-        self.write(f"{name}__next", df, "overwrite", settings)
-        self.write(name, self.read(f"{name}__next"), "overwrite", settings)
-        self.spark.sql(f"drop table {self.db}.`{name}__next`")
+        aside = f"{name}__{uuid.uuid4().hex[:8]}"
+        self.write(aside, df, "errorifexists", settings)
+        self.spark.sql(f"alter table {self.db}.`{name}` rename to {self.db}.`{aside}_old`")
+        self.spark.sql(f"alter table {self.db}.`{aside}` rename to {self.db}.`{name}`")
+        self.spark.sql(f"drop table {self.db}.`{aside}_old`")
 
 
-def _apply(row, source, target, key: str | None, order: str | None, settings: dict[str, str]) -> None:
+#: A target that wasn't there when the plan was made must not be there when it is created.
+MODES = {"create": "errorifexists", "replace": "overwrite", "merge": "append"}
+
+
+def _apply(row, source, target, key: str | None, order: str | None, settings: dict[str, str], empty: bool) -> None:
     rows = source.read(row["name"])
-    if row["copy"] == "meta_only":
+    if row["copy"] == "meta_only" or empty:
         if row["action"] != "merge":
-            target.write(row["target"], rows.limit(0), "overwrite", settings)
-        return
-    if row["action"] != "merge":
-        if key:
-            rows = latest_by_key(rows, key, order or key)
-        target.write(row["target"], rows, "overwrite", settings)
-    elif key:
-        target.swap(row["target"], upsert_by_key(target.read(row["target"]), rows, key, order or key),
-                    settings)
+            target.write(row["target"], rows.limit(0), MODES[row["action"]], settings)
+    elif row["action"] == "merge" and key:
+        target.swap(row["target"], upsert_by_key(target.read(row["target"]), rows, key, order), settings)
     else:
-        target.write(row["target"], rows, "append", settings)
+        if key:
+            rows = latest_by_key(rows, key, order)
+        target.write(row["target"], rows, MODES[row["action"]], settings)
 
 
 def migrate(source, target, include: Sequence[str] = (), exclude: Sequence[str] = (),
@@ -137,9 +152,13 @@ def migrate(source, target, include: Sequence[str] = (), exclude: Sequence[str]
     Names are filtered, renamed by an expression over ``it`` and planned
     (:func:`migration_plan`). Nothing is written unless ``effect`` is on. Each
     table is one distributed write; an error is logged and reported and the
-    next table follows, unless ``abort`` is on. With ``key`` documents are
-    saved by key, so later ones replace earlier ones.
+    next table follows, unless ``abort`` is on. A target is created only where there is none, replaced
+    only with ``force``. With ``key`` documents are saved by key, so later ones by ``order`` (which must tell
+    them apart) replace earlier ones. An empty source is created or replaced like any other; ``skip_empty`` leaves out
+    only its copy.
     """
+    if key and not order:
+        raise ValueError("key needs an order that says which document of a key is the last")
     spark = source.spark
     names = spark.createDataFrame([(n,) for n in source.names()], "name string")
     there = spark.createDataFrame([(n,) for n in target.names()], "name string")
@@ -163,14 +182,15 @@ def migrate(source, target, include: Sequence[str] = (), exclude: Sequence[str]
         if name in readable:
             n_rows = counts.get(name, 0)
             status = "planned"
-            if skip_empty and n_rows == 0:
+            empty = skip_empty and n_rows == 0
+            if empty:
                 status = "skipped_empty"
-            elif effect:
+            if effect:
                 try:
                     if on_table:
                         on_table(name)
-                    _apply(row, source, target, key, order, settings or {})
-                    status = "done"
+                    _apply(row, source, target, key, order, settings or {}, empty)
+                    status = "skipped_empty" if empty else "done"
                 except Exception as error:  # one table must not stop the others
                     problem = str(error).splitlines()[0]
         if problem:

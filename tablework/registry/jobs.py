@@ -65,6 +65,66 @@ def _(t):
                      meta_only=True, skip_empty=True).drop("error")
 
 
+@check("migrate_applied", """
+    select 'n_nation' as name, n_nationkey as key, n_name as label from nation
+    union all select 'n_region', r_regionkey, r_name from region
+    union all select 'n_supplier', s_suppkey, s_name from supplier
+    union all select 'n_customer', c_custkey, c_name from customer
+""")
+def _(t):
+    """Copied for real: renamed, one replaced by force, then read back whole."""
+    source = m.PathStore(t.spark, t.sf_dir, suffix=".parquet", names=["nation", "region", "supplier", "customer"])
+    target = m.PathStore(t.spark, shared_path(t.spark, "migrated"))
+    target.write("n_region", t.region.limit(0), "errorifexists", {})
+    m.migrate(source, target, rename="concat('n_', it)", force=True, effect=True)
+    back = None
+    for name in target.names():
+        rows = target.read(name)
+        key, label = rows.columns[:2]
+        rows = rows.select(F.lit(name).alias("name"), F.col(key).cast("bigint").alias("key"), F.col(label).alias("label"))
+        back = rows if back is None else back.unionByName(rows)
+    return back
+
+
+@check("migrate_by_key", """
+    select event_id as id, event_type, case when event_id % 3 = 0 then value + 1 else value end as value from events
+""")
+def _(t):
+    """Merged by id: part of the events is there with old values, and the source replaces and adds."""
+    rows = t.events.select(F.col("event_id").alias("id"), "event_type", "value", F.lit(1).alias("version"))
+    base = shared_path(t.spark, "merged")
+    source, target = m.PathStore(t.spark, f"{base}/from"), m.PathStore(t.spark, f"{base}/to")
+    target.write("docs", rows.where("id % 2 = 0 or id % 3 = 1"), "errorifexists", {})
+    new = rows.where("id % 3 = 0 or id % 2 = 1").withColumn("value", F.expr("if(id % 3 = 0, value + 1, value)")).withColumn("version", F.lit(3))
+    stale = new.withColumns({"value": F.lit(-1.0), "version": F.lit(2)})
+    source.write("docs", new.unionByName(stale), "errorifexists", {})
+    m.migrate(source, target, merge=True, key="id", order="version", effect=True)
+    return target.read("docs").select("id", "event_type", "value")
+
+
+@check("migrate_index", """
+    select 'target_part' as name, 'p_partkey,p_name,p_brand,p_type,p_size,p_retailprice' as columns, count(*) as n from part
+    union all select 'target_none', 'o_orderkey,o_custkey,o_orderstatus,o_totalprice,o_orderdate,o_orderpriority', 0
+    union all select 'target_old', 's_suppkey,s_name,s_nationkey,s_acctbal', 0
+""")
+def _(t):
+    """Indexes renamed and written with settings; empty ones are created or replaced, only their copy is left out."""
+    base = shared_path(t.spark, "index")
+    source, target = m.PathStore(t.spark, f"{base}/from"), m.PathStore(t.spark, f"{base}/to")
+    source.write("source_part", t.part, "errorifexists", {})
+    source.write("source_none", t.orders.where("o_orderkey < 0"), "errorifexists", {})
+    source.write("source_old", t.supplier.where("s_suppkey < 0"), "errorifexists", {})
+    target.write("target_old", t.supplier, "errorifexists", {})
+    m.migrate(source, target, rename="concat('target_', substring(it, 8))", force=True, skip_empty=True,
+              settings={"compression": "gzip"}, effect=True)
+    found = [target.read(n).agg(F.count(F.lit(1)).alias("n")).select(
+        F.lit(n).alias("name"), F.lit(",".join(target.read(n).columns)).alias("columns"), "n") for n in target.names()]
+    out = found[0]
+    for one in found[1:]:
+        out = out.unionByName(one)
+    return out
+
+
 @check("migrate_collections", """
     select name, 'new_' || name as target, case when c_custkey is null then 'create' else 'merge' end as action,
            'copy' as copy, n_rows
@@ -79,9 +139,10 @@ def _(t):
 
 
 def messages(t: Tables):
-    """The events as a stream of messages."""
-    path = f"{t.sf_dir}/event[s].parquet"  # as a glob it may be a file or a folder
-    events = t.spark.readStream.schema(t.events.schema).parquet(path)
+    """The events as a stream of messages, in several micro-batches that are not in the order of time."""
+    path = shared_path(t.spark, "messages")
+    t.events.repartition(3, "event_id").write.parquet(path)
+    events = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 1).parquet(path)
     return events.select(F.col("event_type").alias("topic"), F.encode("props", "UTF-8").alias("payload"),
                          F.lit(1).alias("qos"), (F.col("value") > 10).alias("retain"),
                          F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"))
@@ -140,7 +201,7 @@ def _(t):
 def _(t):
     data, checkpoint = places(t, "once")
     twice = messages(t).unionByName(messages(t))
-    ms.consume(ms.deliver(twice, qos=2, watermark="2 hours"), data, checkpoint).awaitTermination()
+    ms.consume(ms.deliver(twice, qos=2), data, checkpoint).awaitTermination()
     return t.spark.read.parquet(data).select("id", "topic", text("payload"))
 
 

@@ -14,12 +14,16 @@ from tablework.plans.skew import lookup_join, ranked
 
 
 def latest_by_key(rows: DataFrame, key: str, order: str, keep: str = "last") -> DataFrame:
-    """One row per key: the one with the largest (or smallest) order value."""
+    """One row per key: the one with the largest (or smallest) order value, which must tell a key's rows apart.
+
+    Rows without a key stay as they are: they have nothing in common.
+    """
     if keep not in ("last", "first"):
         raise ValueError("keep is last or first")
     pick = F.max_by if keep == "last" else F.min_by
     row = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
-    return rows.groupBy(key).agg(pick(row, F.col(order)).alias("_row")).select("_row.*")
+    keyed = rows.where(F.col(key).isNotNull()).groupBy(key).agg(pick(row, F.col(order)).alias("_row")).select("_row.*")
+    return keyed.unionByName(rows.where(F.col(key).isNull()))
 
 
 def upsert_by_key(target: DataFrame, updates: DataFrame, key: str, order: str,
@@ -29,7 +33,7 @@ def upsert_by_key(target: DataFrame, updates: DataFrame, key: str, order: str,
     Several updates of one key are cut down to one before the join.
     """
     chosen = latest_by_key(updates, key, order, keep)
-    new_keys = chosen.select(key)
+    new_keys = chosen.select(key).where(F.col(key).isNotNull())
     fresh = chosen.select(*target.columns)
     return lookup_join(target, new_keys, [key], "left_anti").select(*target.columns).unionByName(fresh)
 
@@ -83,7 +87,8 @@ def send(messages: DataFrame, fmt: str = "parquet", **options: str) -> None:
     messages.write.format(fmt).options(**options).mode("append").save()
 
 
-CHUNK_BLOCKS = 100_000
+#: Blocks numbered by one task at a time.
+CHUNK_BLOCKS = 10_000
 
 
 def _resets(sizes: np.ndarray, max_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,7 +112,7 @@ def shard_numbers(blocks: DataFrame, order: str, size: str, max_count: int,
     """Add ``shard``: blocks in order are packed into shards of at most ``max_count``.
 
     A block is never split: when it does not fit, the next shard begins with
-    it (so a first block above the limit stands in shard 2).
+    it (so a first block above the limit stands in shard 2). Blocks of equal ``order`` go by their other columns.
 
     The packing is sequential, but a chunk of blocks depends on what went
     before only through the rows already in the open shard. Each chunk
@@ -117,7 +122,7 @@ def shard_numbers(blocks: DataFrame, order: str, size: str, max_count: int,
     """
     columns = list(blocks.columns)
     count = blocks.count()
-    numbered = ranked(blocks, [], [order], "_no").withColumn(
+    numbered = ranked(blocks, [], [order, *[c for c in columns if c not in (order, size)]], "_no").withColumn(
         "_chunk", F.floor((F.col("_no") - 1) / chunk_blocks))
 
     def report(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -163,7 +168,7 @@ def shard_numbers(blocks: DataFrame, order: str, size: str, max_count: int,
 
 
 def sharded_text(df: DataFrame, block: str, block_order: str, ord: str, text: str,
-                 max_count: int, path: str, suffix: str = ".sql") -> DataFrame:
+                 max_count: int, path: str) -> DataFrame:
     """Write statement text into shards and return the shard of each block.
 
     Shard ``k`` is the folder ``shard=k``; its part files, in name order, are
@@ -174,8 +179,8 @@ def sharded_text(df: DataFrame, block: str, block_order: str, ord: str, text: st
                                   F.min(block_order).alias(block_order))
     shards = shard_numbers(sizes, block_order, "statements", max_count)
     rows = lookup_join(df, shards.select(block, "shard"), [block], "left")
-    (rows.repartitionByRange("shard", block_order, ord)
-     .sortWithinPartitions("shard", block_order, ord)
+    (rows.repartitionByRange("shard", block_order, block, ord)
+     .sortWithinPartitions("shard", block_order, block, ord)
      .select("shard", F.col(text).alias("value"))
      .write.partitionBy("shard").mode("overwrite").text(path))
     return shards

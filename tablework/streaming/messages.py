@@ -7,6 +7,10 @@ writers take the format and options of any installed connector.
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -33,21 +37,45 @@ def consume(stream: DataFrame, path: str, checkpoint: str, fmt: str = "parquet",
     return (writer if continuous else writer.trigger(availableNow=True)).start()
 
 
+def _run_id(checkpoint: str, spark) -> str:
+    """A name that belongs to the checkpoint: folders of a new checkpoint never meet those of an old one."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(checkpoint)
+    home = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    marker = f"{checkpoint.rstrip('/')}/run-name"
+    try:
+        return spark.read.text(marker).first()["value"]
+    except AnalysisException:
+        name = f"{hashlib.md5(home.encode()).hexdigest()[:8]}{uuid.uuid4().hex[:8]}"
+        spark.createDataFrame([(name,)], "value string").coalesce(1).write.text(marker)
+        return name
+
+
+def _each_batch(stream: DataFrame, checkpoint: str, save, continuous: bool, mode: str = "append") -> StreamingQuery:
+    """Call ``save(batch, folder)`` per micro-batch; the folder name is the same when a batch is run again."""
+    run = _run_id(checkpoint, stream.sparkSession)
+    writer = (stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+              .foreachBatch(lambda batch, number: save(batch, f"run={run}/batch={number}")))
+    return (writer if continuous else writer.trigger(availableNow=True)).start()
+
+
 def relay(stream: DataFrame, to: str, path: str, printed: str, checkpoint: str,
-          continuous: bool = False) -> StreamingQuery:
+          continuous: bool = False, fmt: str = "parquet", **options: str) -> StreamingQuery:
     """Pass messages on to topic ``to`` with their properties, and print each body.
 
-    Both outputs are written per micro-batch into the folder of its number,
-    so a batch that is run again replaces what it wrote.
+    Both outputs are written per micro-batch, in the given format, into a folder of the checkpoint's name and the
+    batch's number, so a batch that is run again replaces what it wrote. The batch is read once.
     """
-    def forward(batch: DataFrame, number: int) -> None:
-        (batch.withColumn("topic", F.lit(to))
-         .write.mode("overwrite").parquet(f"{path}/batch={number}"))
-        (batch.select(payload_text(F.col("payload")).alias("value"))
-         .write.mode("overwrite").parquet(f"{printed}/batch={number}"))
+    def forward(batch: DataFrame, folder: str) -> None:
+        batch.persist()
+        try:
+            (batch.withColumn("topic", F.lit(to))
+             .write.format(fmt).options(**options).mode("overwrite").save(f"{path}/{folder}"))
+            (batch.select(payload_text(F.col("payload")).alias("value"))
+             .write.format(fmt).options(**options).mode("overwrite").save(f"{printed}/{folder}"))
+        finally:
+            batch.unpersist()
 
-    writer = stream.writeStream.foreachBatch(forward).option("checkpointLocation", checkpoint)
-    return (writer if continuous else writer.trigger(availableNow=True)).start()
+    return _each_batch(stream, checkpoint, forward, continuous)
 
 
 def retained(stream: DataFrame, ts: str = "ts", id: str = "id") -> DataFrame:
@@ -58,45 +86,85 @@ def retained(stream: DataFrame, ts: str = "ts", id: str = "id") -> DataFrame:
 
 
 def deliver(stream: DataFrame, qos: int, id: str = "id", ts: str = "ts",
-            watermark: str = "1 hour") -> DataFrame:
-    """Delivery level: 2 drops repeats of a message id that come within the
-    watermark; 0 and 1 pass everything (1 is kept by the sink's checkpoint)."""
+            watermark: str | None = None) -> DataFrame:
+    """Delivery level: 2 passes each message id once; 0 and 1 pass everything (1 is kept by the sink's checkpoint).
+
+    Nothing is lost, however late or out of order it comes: the ids seen are kept as state, which the
+    RocksDB store holds on disk. Where that state may not grow without end, a ``watermark`` bounds it, and only
+    then are messages that come later than it dropped: the caller's choice, never the default.
+    """
     if qos not in (0, 1, 2):
         raise ValueError("qos is 0, 1 or 2")
     if qos < 2:
         return stream
+    if watermark is None:
+        return stream.dropDuplicates([id])
     return stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([id])
 
 
-def keep_latest(result: DataFrame, path: str, checkpoint: str,
-                continuous: bool = False) -> StreamingQuery:
-    """Write a complete-mode result; folder ``batch=n`` holds the state after batch n."""
-    def save(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+def keep_latest(result: DataFrame, path: str, checkpoint: str, continuous: bool = False, keys: tuple[str, ...] = ("topic",),
+                fmt: str = "parquet", **options: str) -> StreamingQuery:
+    """Fold what each batch changed into a keyed table; folder ``state=n`` holds the table after the n-th write.
 
-    writer = (result.writeStream.outputMode("complete").foreachBatch(save)
-              .option("checkpointLocation", checkpoint))
-    return (writer if continuous else writer.trigger(availableNow=True)).start()
+    ``result`` is an aggregate by ``keys``, run in update mode, so a batch has the changed keys only. The two
+    newest states are kept: the newest, and the one before it for readers that are still at it. A batch that
+    is run again gives the same table, because its rows replace those of their keys.
+    """
+    spark = result.sparkSession
+
+    def save(batch: DataFrame, folder: str) -> None:
+        states = _states(spark, path)
+        new = batch
+        if states:
+            old = spark.read.format(fmt).options(**options).load(f"{path}/state={states[-1]}")
+            new = old.join(batch.select(*keys), list(keys), "left_anti").select(*batch.columns).unionByName(batch)
+        number = states[-1] + 1 if states else 0
+        new.write.format(fmt).options(**options).mode("overwrite").save(f"{path}/state={number}.part")
+        _rename(spark, f"{path}/state={number}.part", f"{path}/state={number}")
+        for n in states[:-1]:
+            _delete(spark, f"{path}/state={n}")
 
+    return _each_batch(result, checkpoint, save, continuous, "update")
 
-def latest_state(spark, path: str) -> DataFrame:
+
+def _folder(spark, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _states(spark, path: str) -> list[int]:
+    """Numbers of the finished states below the path, ascending."""
+    at, fs = _folder(spark, path)
+    names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
+    return sorted(int(n.removeprefix("state=")) for n in names if n.removeprefix("state=").isdigit())
+
+
+def _rename(spark, old: str, new: str) -> None:
+    at, fs = _folder(spark, old)
+    if not fs.rename(at, _folder(spark, new)[0]):
+        raise OSError(f"{old} can't be renamed")
+
+
+def _delete(spark, path: str) -> None:
+    at, fs = _folder(spark, path)
+    fs.delete(at, True)
+
+
+def latest_state(spark, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
     """The newest state that :func:`keep_latest` wrote."""
-    states = spark.read.parquet(path)
-    newest = states.agg(F.max("batch").alias("batch"))
-    return states.join(F.broadcast(newest), "batch", "left_semi").drop("batch")
+    return spark.read.format(fmt).options(**options).load(f"{path}/state={_states(spark, path)[-1]}")
 
 
 def push(stream: DataFrame, key: str, value: str, order: str, path: str, checkpoint: str,
-         continuous: bool = False) -> StreamingQuery:
+         continuous: bool = False, fmt: str = "parquet", **options: str) -> StreamingQuery:
     """Append a stream of lines to keyed collections (read by :func:`pushed`)."""
-    def save(batch: DataFrame, number: int) -> None:
+    def save(batch: DataFrame, folder: str) -> None:
         (batch.select(F.col(key).alias("key"), F.col(value).alias("value"), F.col(order).alias("ord"))
-         .write.mode("overwrite").parquet(f"{path}/batch={number}"))
+         .write.format(fmt).options(**options).mode("overwrite").save(f"{path}/{folder}"))
 
-    writer = stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint)
-    return (writer if continuous else writer.trigger(availableNow=True)).start()
+    return _each_batch(stream, checkpoint, save, continuous)
 
 
-def pushed(spark, path: str, kind: str = "list") -> DataFrame:
+def pushed(spark, path: str, kind: str = "list", fmt: str = "parquet", **options: str) -> DataFrame:
     """The keyed collections as they stand after the batches written so far."""
-    return collect_by_key(spark.read.parquet(path), "key", "value", kind, "ord")
+    return collect_by_key(spark.read.format(fmt).options(**options).load(path), "key", "value", kind, "ord")

@@ -1,4 +1,4 @@
-"""Every registered query against its SQL, in the ordinary and in the sliced form."""
+"""Every registered query against its SQL."""
 
 import os
 
@@ -6,22 +6,11 @@ import pytest
 
 import __spark_entry__ as entry
 from tablework import registry
-from tablework.plans import skew
 from tests import oracle
 
 SF = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
 QUERIES, SQL = registry.QUERIES, registry.ORACLES
 
-# Queries whose plan ranks, looks back or looks up, and so has a form for heavy keys.
-SLICED = ["duplicate_rows", "group_members", "rename_duplicates_seq", "rename_duplicates_all",
-          "rename_duplicates_hash", "rename_conflicts", "dedupe_applied", "lines_in", "lines_not_in",
-          "best_format", "no_format", "pair_by_pattern", "without_existing", "existing_conflicts",
-          "claim_targets", "rename_plan", "upsert_by_key", "collect_list_by_key",
-          "collect_zset_by_key", "sharded_blocks", "adjacent_json_diff", "adjacent_json_diff_by_key",
-          "batch_no", "batch_no_by_key", "insert_sql", "typed_table_batch", "migration_plan",
-          "migrate_collections", "stream_collect"]
-
-
 @pytest.fixture(scope="module")
 def con():
     return oracle.connect(SF)
@@ -36,12 +25,6 @@ def test_query(spark, con, name):
         assert df.count() > 0
 
 
-@pytest.mark.parametrize("name", SLICED)
-def test_query_with_heavy_keys_cut(spark, con, name, monkeypatch):
-    monkeypatch.setattr(skew, "SLICE_ROWS", 70)
-    assert oracle.compare(QUERIES[name](spark, SF), con, SQL[name]) == []
-
-
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
     assert set(QUERIES) - set(SQL) == {"rename_duplicates_uuid", "file_inventory"}

@@ -21,11 +21,11 @@ def table(spark):
     return spark.createDataFrame(rows(), "k string, pk bigint, v string").repartition(6)
 
 
-@pytest.mark.parametrize("slice_rows", [None, 64, 200])
+@pytest.mark.parametrize("slices", [None, 50, 7])
 @pytest.mark.parametrize("descending", [False, True])
 @pytest.mark.parametrize("keys", [["k"], []])
-def test_ranked(table, slice_rows, descending, keys):
-    got = skew.ranked(table, keys, ["pk"], "r", descending, slice_rows).collect()
+def test_ranked(table, slices, descending, keys):
+    got = skew.ranked(table, keys, ["pk"], "r", descending, slices).collect()
     groups = defaultdict(list)
     for k, pk, v in rows():
         groups[k if keys else 0].append(pk)
@@ -33,9 +33,9 @@ def test_ranked(table, slice_rows, descending, keys):
     assert {r.pk: r.r for r in got} == want and len(got) == len(want)
 
 
-@pytest.mark.parametrize("slice_rows", [64, 200])
-def test_ranked_by_text_and_number(table, slice_rows):
-    got = skew.ranked(table, ["k"], ["v", "pk"], "r", False, slice_rows).collect()
+@pytest.mark.parametrize("slices", [50, 7])
+def test_ranked_by_text_and_number(table, slices):
+    got = skew.ranked(table, ["k"], ["v", "pk"], "r", False, slices).collect()
     groups = defaultdict(list)
     for k, pk, v in rows():
         groups[k].append((v, pk))
@@ -44,17 +44,40 @@ def test_ranked_by_text_and_number(table, slice_rows):
 
 
 def test_slices_are_really_cut(table):
-    bounds = skew._slice_bounds(table, ["k"], ["pk"], 64)
-    sliced = skew._sliced(table, ["k"], ["pk"], bounds)
+    cut = skew.Slices(table, ["k"], ["pk"], 50)
+    sliced = cut.mark(table)
     sizes = sliced.where("k = 'hot'").groupBy("_slice").count().collect()
-    assert len(sizes) > 20 and max(r["count"] for r in sizes) <= 64
-    assert sliced.where("not _heavy").where("_slice <> 0").count() == 0
+    assert len(sizes) > 20 and max(r["count"] for r in sizes) <= 250
+    light = sliced.where("not _heavy").groupBy("k").agg(F.count_distinct("_slice").alias("n")).collect()
+    assert light and all(r["n"] == 1 for r in light)
 
 
-@pytest.mark.parametrize("slice_rows", [None, 64])
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_global_rank_needs_no_single_task_and_no_nested_loop(table):
+    plan = plan_of(skew.ranked(table, [], ["pk"], "r"))
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert plan.count("SinglePartition") <= 1  # one row per slice, for the sizes before each
+
+
+def test_text_bounds_are_short(spark):
+    df = spark.range(400).select(F.concat(F.lit("x" * 500), "id").alias("t"), "id")
+    cut = skew.Slices(df, [], ["t", "id"], 8)
+    assert cut.bounds and max(map(len, cut.bounds)) < 200
+    got = skew.ranked(df, [], ["t", "id"], "r", slices=8).orderBy("t").collect()
+    assert [r["r"] for r in got] == list(range(1, 401))
+
+
+def test_rank_of_an_empty_table(table):
+    assert skew.ranked(table.limit(0), [], ["pk"], "r").count() == 0
+
+
+@pytest.mark.parametrize("slices", [None, 50])
 @pytest.mark.parametrize("keys", [["k"], []])
-def test_with_previous(table, slice_rows, keys):
-    got = skew.with_previous(table, {"before": "v"}, keys, ["pk"], slice_rows).collect()
+def test_with_previous(table, slices, keys):
+    got = skew.with_previous(table, {"before": "v"}, keys, ["pk"], slices).collect()
     groups = defaultdict(list)
     for k, pk, v in rows():
         groups[k if keys else 0].append((pk, v))
@@ -71,8 +94,7 @@ def test_lookup_join(spark, table, how):
     right = spark.createDataFrame([("hot", 1), ("k1", 2), ("k999", 3)], "k string, w int")
     if how in ("left_semi", "left_anti"):
         right = right.select("k")
-    assert skew.heavy_hashes(table, ["k"], 100)
-    cut = skew.lookup_join(table, right, ["k"], how, slice_rows=100)
+    cut = skew.lookup_join(table, right, ["k"], how)
     plain = table.join(right, ["k"], how)
     assert cut.columns == plain.columns
     assert sorted(map(str, cut.collect())) == sorted(map(str, plain.collect()))
@@ -85,12 +107,12 @@ def test_lookup_join_refuses_mixed_types(spark, table):
 
 
 def test_partition_count_does_not_matter(spark, table):
-    first = skew.ranked(table, ["k"], ["pk"], "r", True, 64)
+    first = skew.ranked(table, ["k"], ["pk"], "r", True, 50)
     before = spark.conf.get("spark.sql.shuffle.partitions")
     want = sorted(map(tuple, first.select("pk", "r").collect()))
     try:
         spark.conf.set("spark.sql.shuffle.partitions", "3")
-        again = skew.ranked(table.repartition(13, F.rand(1)), ["k"], ["pk"], "r", True, 64)
+        again = skew.ranked(table.repartition(13, F.rand(1)), ["k"], ["pk"], "r", True, 50)
         assert sorted(map(tuple, again.select("pk", "r").collect())) == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)

@@ -171,7 +171,7 @@ def test_migrate(spark, tmp_path):
     assert ids(target, "one") == [0, 1, 2] and ids(target, "two") == [7, 8]
     m.migrate(source, target, include=["two"], merge=True, effect=True)
     assert ids(target, "two") == [0, 1, 7, 8]
-    m.migrate(source, target, include=["one"], merge=True, key="id", effect=True)
+    m.migrate(source, target, include=["one"], merge=True, key="id", order="id", effect=True)
     assert ids(target, "one") == [0, 1, 2] and target.names() == ["one", "two"]
     m.migrate(source, target, include=["two"], force=True, effect=True)
     assert ids(target, "two") == [0, 1]
@@ -205,13 +205,13 @@ def test_migrate_catalog(spark, tmp_path):
     spark.range(0).write.saveAsTable("from_db.none")
     spark.range(1).createOrReplaceTempView("a_view_of_the_session")
     source, target = m.CatalogStore(spark, "from_db"), m.CatalogStore(spark, "to_db")
-    report = m.migrate(source, target, rename="concat('idx_', it)", effect=True, skip_empty=True, key="id",
+    report = m.migrate(source, target, rename="concat('idx_', it)", effect=True, skip_empty=True, key="id", order="id",
                        settings={"shards": "3"}).collect()
     assert [(r.target, r.n_rows, r.status) for r in report] == [("idx_docs", 4, "done"), ("idx_none", 0, "skipped_empty")]
     assert ids(target, "idx_docs") == [0, 1, 2, 3]
     properties = {r.key: r.value for r in spark.sql("show tblproperties to_db.idx_docs").collect()}
     assert properties["shards"] == "3"
-    m.migrate(source, target, include=["docs"], rename="concat('idx_', it)", merge=True, key="id", effect=True)
+    m.migrate(source, target, include=["docs"], rename="concat('idx_', it)", merge=True, key="id", order="id", effect=True)
     assert ids(target, "idx_docs") == [0, 1, 2, 3] and target.names() == ["idx_docs"]
 
 
@@ -247,7 +247,7 @@ def test_stream_delivers_once(spark, tmp_path):
     box, out, mark = tmp_path / "box", str(tmp_path / "out"), str(tmp_path / "mark")
     feed(spark, box, FIRST)
     feed(spark, box, SECOND)
-    ms.consume(ms.deliver(stream(spark, box), 2, watermark="1 minute"), out, mark).awaitTermination()
+    ms.consume(ms.deliver(stream(spark, box), 2), out, mark).awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 3, 4, 5]
     assert ms.deliver(stream(spark, box), 1).columns == stream(spark, box).columns
     with pytest.raises(ValueError):
