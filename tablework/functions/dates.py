@@ -11,7 +11,7 @@ DURATION = (r"^-?(?:\d{1,9}y)?(?:\d{1,9}mo)?(?:\d{1,9}d)?"
 
 
 def date_add_duration(date: Column, duration: Column) -> Column:
-    """Date plus a duration such as ``-1y3d``; NULL where the text is no duration."""
+    """Date plus a duration such as ``-1y3d``; NULL where the text is no duration, a part of ten digits or more included."""
     sign = F.when(duration.startswith("-"), -1).otherwise(1)
 
     def part(unit: str) -> Column:

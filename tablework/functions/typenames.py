@@ -143,8 +143,12 @@ def type_family(type_col: Column, word: Column) -> Column:
     return found.otherwise("string")
 
 
-def family_literal(family: Column, drawn: Column, postgres: bool = False) -> Column:
-    """A SQL literal for a type family (see :func:`type_family`), fixed by an MD5."""
+def family_literal(family: Column, drawn: Column, postgres: bool = False, declared: Column | None = None) -> Column:
+    """A SQL literal for a type family (see :func:`type_family`), fixed by an MD5.
+
+    With the ``declared`` type it fits: a member of an ``enum`` or ``set``, at most the length of a ``char`` or
+    ``varchar``, within precision and scale of a decimal, a ``year`` from 1901 to 2155.
+    """
     def q(text: Column) -> Column:
         return F.concat(F.lit("'"), text, F.lit("'"))
 
@@ -153,6 +157,21 @@ def family_literal(family: Column, drawn: Column, postgres: bool = False) -> Col
     cents = n % 25600
     number = F.concat(F.floor(cents / 100).cast("string"), F.lit("."),
                       F.lpad((cents % 100).cast("string"), 2, "0"))
+    text = base36(drawn, 0, 7)
+    year = None
+    if declared is not None:
+        limit = F.regexp_extract(declared, r"^(?:var)?(?:char|binary)\((\d+)\)", 1)
+        members = F.regexp_extract_all(declared, F.lit("'([^']*)'"), F.lit(1))
+        text = F.when(declared.rlike("^(?i:enum|set)\\("), F.get(members, (n % F.size(members)).cast("int"))) \
+            .when(limit != "", F.substring(text, F.lit(1), limit.cast("int"))).otherwise(text)
+        year = F.lower(declared).startswith("year")
+        places = [F.regexp_extract(declared, r"^(?i:decimal|numeric)\((\d+)(?:, *(\d+))?\)", i) for i in (1, 2)]
+        scale = F.when(places[1] == "", 0).otherwise(places[1].try_cast("int"))
+        before = F.least(F.greatest(places[0].try_cast("int") - scale, F.lit(0)), F.lit(3))
+        cut = F.concat((F.floor(cents / 100) % F.get(F.array(*[F.lit(10 ** k) for k in range(4)]), before)).cast("string"),
+                       F.when(scale == 0, "").when(scale == 1, F.concat(F.lit("."), (F.floor(cents / 10) % 10).cast("string")))
+                       .otherwise(F.concat(F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))))
+        number = F.when(places[0] != "", cut).otherwise(number)
     day = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), (n % 24837).cast("int")),
                         "yyyy-MM-dd")
     second = piece(drawn, 1) % 86400
@@ -165,6 +184,7 @@ def family_literal(family: Column, drawn: Column, postgres: bool = False) -> Col
     bit = F.concat(q((n % 2).cast("string")), F.lit("::bit(16)" if postgres else ""))
     point = F.concat(F.lit("("), small, F.lit(",1)"))
     return (F.when(family == "bit", bit)
+            .when((family == "int") & (F.lit(False) if year is None else year), (n % 255 + 1901).cast("string"))
             .when(family == "int", small)
             .when(family == "number", number)
             .when(family == "boolean", F.when(n % 2 == 0, "true").otherwise("false"))
@@ -182,4 +202,4 @@ def family_literal(family: Column, drawn: Column, postgres: bool = False) -> Col
             .when(family == "point", q(point))
             .when(family == "points", q(F.concat(F.lit("("), point, F.lit(",(0,0))"))))
             .when(family == "circle", q(F.concat(F.lit("<"), point, F.lit(",1>"))))
-            .otherwise(q(base36(drawn, 0, 7))))
+            .otherwise(q(text)))

@@ -28,20 +28,18 @@ def uniqueness(df: DataFrame, cols: list[str]) -> DataFrame:
     A column the table does not have is reported with NULL counts.
     """
     present = [c for c in cols if c in df.columns]
-    wanted = ", ".join(f"('{c}', {c in present})" for c in cols)
-    spark = df.sparkSession
-    names = spark.sql(f"select * from values {wanted} as t(column_name, present)")
+    names = df.sparkSession.createDataFrame([(c, c in present) for c in cols], "column_name string, present boolean")
     if not present:
         return names.select("*", F.lit(None).cast("bigint").alias("n_values"),
                             F.lit(None).cast("bigint").alias("n_distinct"),
                             F.lit(None).cast("boolean").alias("is_unique"))
-    counted = df.agg(*[F.count(c).alias(f"v_{c}") for c in present],
-                     *[F.count_distinct(c).alias(f"d_{c}") for c in present])
-    rows = counted.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(f"v_{c}").alias("n_values"),
-                 F.col(f"d_{c}").alias("n_distinct"),
-                 (F.col(f"v_{c}") == F.col(f"d_{c}")).alias("is_unique"))
-        for c in present])).alias("r")).select("r.*")
+    rows = None
+    for c in present:  # each column by itself: partial counts, and no row is expanded once per column
+        value = F.col(f"`{c}`")
+        counts = df.where(value.isNotNull()).groupBy(value.alias("v")).agg(F.count(F.lit(1)).alias("n")).agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("n_values"), F.count(F.lit(1)).alias("n_distinct"))
+        one = counts.select(F.lit(c).alias("column_name"), "*", (F.col("n_values") == F.col("n_distinct")).alias("is_unique"))
+        rows = one if rows is None else rows.unionByName(one)
     return names.join(rows, "column_name", "left")
 
 

@@ -166,6 +166,27 @@ def depth_order(plan: DataFrame, path: str = "path") -> DataFrame:
     return deep.orderBy(F.desc("depth"), path)
 
 
+def copy_plan(files: DataFrame, patterns: Sequence[str], existing: DataFrame, kind: str = "kind", book: str = "book",
+              file: str = "file") -> DataFrame:
+    """Which file of each ``kind/book`` folder is copied to ``kind/``: (kind, book, file, path, target, action).
+
+    One file per folder, the first name under the first pattern that matches any. ``action`` is ``copy``,
+    ``target_exists`` (``existing`` has the target), ``target_claimed`` (an earlier folder takes it) or ``unmatched``,
+    where no file fits (file, path and target are NULL then).
+    """
+    number = F.coalesce(*[F.when(starts_with_match(F.col(file), p), i + 1) for i, p in enumerate(patterns)])
+    picks = files.groupBy(kind, book).agg(F.min(F.when(number.isNotNull(), F.struct(number.alias("no"), F.col(file)))).alias("_pick")) \
+        .select(kind, book, F.col("_pick")[file].alias(file))
+    named = picks.withColumns({"path": F.when(F.col(file).isNotNull(), F.concat_ws("/", kind, book, file)),
+                               "target": F.when(F.col(file).isNotNull(), F.concat_ws("/", kind, file))})
+    there = existing.select("target").distinct().withColumn("_there", F.lit(True))
+    first = named.where("target is not null").groupBy("target").agg(F.min("path").alias("_first"))
+    judged = lookup_join(lookup_join(named, there, ["target"], "left"), first, ["target"], "left")
+    action = (F.when(F.col("target").isNull(), "unmatched").when(F.col("_there"), "target_exists")
+              .when(F.col("path") == F.col("_first"), "copy").otherwise("target_claimed"))
+    return judged.select(kind, book, file, "path", "target", action.alias("action"))
+
+
 def rename_plan(files: DataFrame, rename: Callable[[DataFrame], DataFrame],
                 limit: int = -1) -> DataFrame:
     """What a rename over an inventory would do, one row per matching file.

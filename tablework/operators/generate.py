@@ -134,7 +134,9 @@ def combinations(spark: SparkSession, items: Sequence[str], modes: Iterable[str
     picked = F.filter(F.array(*[F.lit(i) for i in items]),
                       lambda item, i: F.getbit(F.lit(last) - F.col("mask"), F.lit(n - 1) - i) == 1)
     k = F.bit_count(F.lit(last) - F.col("mask"))
-    copies = F.explode(F.sequence(F.lit(1), F.lit(max(1, min(repeat, 100)))))
+    if not 1 <= repeat <= 100:
+        raise ValueError(f"repeat is 1 to 100, but: {repeat}")
+    copies = F.explode(F.sequence(F.lit(1), F.lit(repeat)))
     return (spark.range(last).withColumnRenamed("id", "mask").where(k.isin(sizes))
             .select(k.alias("k"), "mask", picked.alias("items")).withColumn("copy", copies)
             .select("k", "mask", "copy", "items"))
@@ -234,14 +236,14 @@ class TableStyle:
     def insert(self, table: Column, columns: Column, first_row: Column, last_row: Column) -> Column:
         def value_row(row: Column) -> Column:
             drawn = F.transform(columns, lambda c, i: F.struct(
-                c["family"].alias("family"), digest(self.seed, table, row, i).alias("md5")))
-            values = F.transform(drawn, lambda d: family_literal(d["family"], d["md5"], self.postgres))
+                c["family"].alias("family"), c["type"].alias("type"), digest(self.seed, table, row, i).alias("md5")))
+            values = F.transform(drawn, lambda d: family_literal(d["family"], d["md5"], self.postgres, d["type"]))
             return F.concat(F.lit("("), F.array_join(values, ","), F.lit(")"))
 
         rows = F.array_join(F.transform(F.sequence(first_row, last_row), value_row), ",")
         if self.partition_types:
             fixed = [F.concat(self._partition_name(t), F.lit("="), family_literal(
-                type_family(F.lit(t), first_word(F.lit(t))), digest(self.seed, table, first_row, f"p{i}")))
+                type_family(F.lit(t), first_word(F.lit(t))), digest(self.seed, table, first_row, f"p{i}"), declared=fill_type(F.lit(t))))
                 for i, t in enumerate(self.partition_types)]
             where = F.concat(F.lit(" partition("), F.concat_ws(",", *fixed), F.lit(")"))
         else:
@@ -287,6 +289,16 @@ def column_comments(specs: DataFrame, comment: str, table: str = "table_name",
                            style.comment_statement(F.col(table), F.col("_c")).alias("statement"))
 
 
+def typed_values(specs: DataFrame, style: TableStyle | None = None, row: int = 1,
+                 table: str = "table_name", types: str = "types") -> DataFrame:
+    """The literals that row ``row`` of each table gets: ``(table, column_no, type, literal)``."""
+    style = style or TableStyle()
+    made = style.with_columns(specs, table, types, families=True).select(table, F.posexplode("_columns").alias("column_no", "_c"))
+    drawn = digest(style.seed, F.col(table), row, F.col("column_no"))
+    return made.select(table, "column_no", F.col("_c.type").alias("type"),
+                       family_literal(F.col("_c.family"), drawn, style.postgres, F.col("_c.type")).alias("literal"))
+
+
 def typed_table(spark: SparkSession, types: Sequence[str], name: str, style: TableStyle | None = None,
                 row_num: int = 1, batch_size: int = 1) -> tuple[T.StructType, DataFrame]:
     """Schema and statements of one table with a column per type.

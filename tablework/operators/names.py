@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import pandas as pd
+import regex
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,22 +73,43 @@ def rewrite_lines(df: DataFrame, pattern: str, repl: str, matched_only: bool = F
 
 
 def replace_first_n(df: DataFrame, col: str, pattern: str, repl: str, n: int = 1) -> DataFrame:
-    """Replace the first ``n`` matches in each text; all of them when ``n <= 0``."""
+    """Replace the first ``n`` matches in each text; all of them when ``n <= 0``.
+
+    Patterns are Java's. All and the first match are replaced on the JVM, and so are several matches by a
+    text without groups where the pattern can't match nothing. The rest, several matches with groups or
+    of a pattern that may be empty, takes the ``regex`` library, which knows Java's classes such as ``\\p{L}``.
+    """
     if n <= 0:
         return df.withColumn(col, F.regexp_replace(col, pattern, tx.java_replacement(repl)))
-    if "\\" not in repl and re.search(pattern, "") is None:
+    if n == 1:  # what stands before the first match is matched with it, so it can only match once
+        front = rf"\A(?<front>[\s\S]*?)(?:{_groups_up(pattern)})"
+        return df.withColumn(col, F.regexp_replace(col, front, "${front}" + tx.java_replacement(_groups_up(repl))))
+    if "\\" not in repl and _never_empty(pattern):
         # Cut at the first n matches and join the pieces with the new text.
         return df.withColumn(col, F.array_join(F.split(col, pattern, n + 1), repl))
 
     @F.pandas_udf(T.StringType())
     def substitute(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        compiled = re.compile(pattern)
+        compiled = regex.compile(pattern, regex.VERSION0)
         for texts in batches:
             yield texts.map(lambda s: compiled.sub(repl, s, count=n), na_action="ignore")
 
     return df.withColumn(col, substitute(col))
 
 
+def _groups_up(text: str) -> str:
+    r"""Every ``\1`` one higher, in a pattern or a replacement."""
+    return re.sub(r"(\\\\)|\\(\d)", lambda m: m[1] or f"\\{int(m[2]) + 1}", text)
+
+
+def _never_empty(pattern: str) -> bool:
+    """Does every match of the pattern have a character? False where that can't be told."""
+    try:
+        return re._parser.parse(re.sub(r"\\[pP]\{\w+\}", "x", pattern)).getwidth()[0] > 0
+    except re.error:
+        return False
+
+
 def strip_marker(df: DataFrame, col: str, marker: str) -> DataFrame:
     """Cut a marker off the front of the names that start with it."""
     return df.withColumn(col, tx.strip_marker(F.col(col), marker))

@@ -90,9 +90,13 @@ def _(t):
                         F.md5("new_value").alias("new_value"))
 
 
-@check("rename_duplicates_uuid")
+@check("rename_duplicates_uuid", f"select p_partkey, old_value, true as well_formed from ({SEQ})")
 def _(t):
-    return d.rename_duplicates_uuid(t.part, "p_name", "p_partkey")
+    """The new names are random; their shape is the old name, an underscore and six hex digits."""
+    named = d.rename_duplicates_uuid(t.part, "p_name", "p_partkey")
+    base = d.trim_right(F.col("old_value"))
+    tail = F.expr("substring(new_value, length(old_value) + 1)")
+    return named.select("p_partkey", "old_value", (F.col("new_value").startswith(base) & tail.rlike("^_[0-9a-f]{6}$")).alias("well_formed"))
 
 
 @check("rename_conflicts", """

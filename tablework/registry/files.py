@@ -6,6 +6,7 @@ from tablework.operators import files as fl
 from tablework.operators import names as nm
 from tablework.registry import Tables, check
 from tablework.registry.names import DOC_PATHS, doc_paths
+from tablework.session import shared_path
 from tablework.sources import files as src
 
 EXTENSIONS = [".epub", ".mobi", ".txt", ".pdf"]
@@ -213,9 +214,35 @@ def _(t):
     return fl.rename_plan(doc_paths(t), lambda files: nm.rename_prefix(files, "path", r"(\d)\d", r"\1"))
 
 
-@check("file_inventory")
+@check("file_inventory", """
+    select 'lang=' || lang as folder, cast(sum(strlen(text) + 1) as bigint) as n_bytes from documents group by lang
+""")
+def _(t):
+    """Documents written as text, a folder per language; the inventory adds up to their bytes."""
+    base = shared_path(t.spark, "inventory")
+    t.documents.select("lang", "text").write.partitionBy("lang").text(base)
+    found = src.file_inventory(t.spark, base, glob="*.txt").where("kind = 'file'")
+    folder = F.element_at(F.split("path", "/"), -2)
+    return found.groupBy(folder.alias("folder")).agg(F.sum("length").alias("n_bytes"))
+
+
+@check("copy_plan", """
+    with picks as (
+        select lang as kind, source as book, min(case when doc_id % 3 = 0 then '1:' || doc_id || '.pdf' when doc_id % 3 = 1 and doc_id % 7 < 3
+                     then '2:' || doc_id || '.epub' end) as pick
+        from documents where doc_id % 11 > 8 group by all),
+    named as (select kind, book, substr(pick, 3) as file, kind || '/' || book || '/' || substr(pick, 3) as path, kind || '/' || substr(pick, 3) as target from picks)
+    select *, case when target is null then 'unmatched'
+                   when target in (select lang || '/' || doc_id || '.pdf' from documents where doc_id % 5 = 0) then 'target_exists'
+                   when row_number() over (partition by target order by path) = 1 then 'copy' else 'target_claimed' end as action
+    from named
+""")
 def _(t):
-    return src.file_inventory(t.spark, t.sf_dir, glob="*.parquet").select("path", "length", "kind")
+    ending = F.expr("case when doc_id % 3 = 0 then '.pdf' when doc_id % 3 = 1 and doc_id % 7 < 3 then '.epub' else '.txt' end")
+    files = t.documents.where("doc_id % 11 > 8").select(F.col("lang").alias("kind"), F.col("source").alias("book"),
+                                                        F.concat(F.col("doc_id").cast("string"), ending).alias("file"))
+    there = t.documents.where("doc_id % 5 = 0").select(F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("target"))
+    return fl.copy_plan(files, [r".*\.pdf", r".*\.epub"], there)
 
 
 @check("map_files", """

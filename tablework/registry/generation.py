@@ -196,3 +196,49 @@ def _(t):
 """)
 def _(t):
     return g.column_comments(specs(t), "comment on column $table.$column is 'Column Type: $type'", quote="`")
+
+
+def member(i: int, at: int, tail: str = "") -> str:
+    seed = f"concat_ws(':', '0', table_name, {i})"
+    return f"{base36(seed, at, 4)} || '{tail}'"
+
+
+def drawn(i: int) -> str:
+    return piece(f"concat_ws(':', '0', table_name, 1, {i})", 0)
+
+
+def fitted(no: int, type_sql: str, literal_sql: str) -> str:
+    return f"select table_name, {no} as column_no, {type_sql} as type, {literal_sql} as literal from t"
+
+
+def listed(no: int, word: str) -> str:
+    members = [member(no, 0), member(no, 8, "x")]
+    return fitted(no, f"'{word}(''' || {members[0]} || ''',''' || {members[1]} || ''')'",
+                  f"'''' || case when {drawn(no)} % 2 = 0 then {members[0]} else {members[1]} end || ''''")
+
+
+def cut(no: int, word: str, n: int) -> str:
+    seed = f"concat_ws(':', '0', table_name, 1, {no})"
+    return fitted(no, f"'{word}({n})'", f"'''' || substr({base36(seed, 0, 7)}, 1, {n}) || ''''")
+
+
+FITTED = " union all ".join([
+    listed(0, "enum"), listed(1, "set"), cut(2, "char", 3), cut(3, "varchar", 5),
+    fitted(4, "'decimal(3,2)'", f"((({drawn(4)} % 25600) // 100) % 10) || '.' || lpad((({drawn(4)} % 25600) % 100)::varchar, 2, '0')"),
+    fitted(5, "'decimal(2)'", f"((({drawn(5)} % 25600) // 100) % 100)::varchar"),
+    fitted(6, "'year'", f"({drawn(6)} % 255 + 1901)::varchar")])
+
+
+@check("typed_values", f"""
+    with t as (select 't_' || c_custkey as table_name from customer), v as ({FITTED})
+    select *, case when column_no < 2 then contains(type, literal) when column_no = 2 then length(literal) <= 3 + 2
+                   when column_no = 3 then length(literal) <= 5 + 2 when column_no = 4 then abs(literal::double) < 10
+                   when column_no = 5 then abs(literal::double) < 100 else literal::int between 1901 and 2155 end as fits
+    from v
+""")
+def _(t):
+    """Each literal fits the type of its column, which the SQL checks value by value."""
+    types = ["enum", "set", "char(3)", "varchar(5)", "decimal(3,2)", "decimal(2)", "year"]
+    tables = t.customer.select(F.concat(F.lit("t_"), F.col("c_custkey").cast("string")).alias("table_name"),
+                               literals(types).alias("types"))
+    return g.typed_values(tables).withColumn("fits", F.lit(True))

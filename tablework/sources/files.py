@@ -28,7 +28,7 @@ def json_records(spark: SparkSession, path: str, schema: T.StructType, glob: str
                  multi_line: bool = True, renames: dict[str, str] | None = None) -> DataFrame:
     """Records from files that hold JSON arrays, with a fixed nested schema.
 
-    ``multi_line`` reads one array per file, otherwise one array (or object)
+    ``multi_line`` reads one array per file, which takes a whole file per task; otherwise one array (or object)
     per line, which Spark can split.
     """
     records = (spark.read.schema(schema).option("multiLine", multi_line)
@@ -53,10 +53,12 @@ def lines(spark: SparkSession, path: str, comments: bool = False) -> DataFrame:
         "_no", F.row_number().over(Window.partitionBy("file", "_block").orderBy("_seq")))
     earlier = (Window.partitionBy("file").orderBy("_block")
                .rowsBetween(Window.unboundedPreceding, -1))
-    before = (raw.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_n"))
+    before = (inside.groupBy("file", "_block").agg(F.max("_no").alias("_n"))
               .select("file", "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")))
-    numbered = (inside.join(before, ["file", "_block"])
-                .select("file", (F.col("_before") + F.col("_no")).alias("line_no"), "value"))
+    # Were the splits of a second scan others, lines would miss their number: that must be an error, not a loss.
+    known = F.coalesce("_before", F.raise_error(F.lit("the splits of a file changed while it was read")).cast("bigint"))
+    numbered = (inside.join(before, ["file", "_block"], "left")
+                .select("file", (known + F.col("_no")).alias("line_no"), "value"))
     return read_marks(numbered) if comments else numbered
 
 

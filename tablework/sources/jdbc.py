@@ -24,14 +24,16 @@ def jdbc_options(url: str, table: str, driver: str, user: str | None = None,
 
 def jdbc_source(spark: SparkSession, url: str, table: str, driver: str,
                 partition_column: str | None = None, bounds: tuple[object, object] | None = None,
-                num_partitions: int = 1, fetch_size: int = 1024, **options: object) -> DataFrame:
+                num_partitions: int | None = None, fetch_size: int = 1024, single: bool = False,
+                **options: object) -> DataFrame:
     """A table reached by JDBC, read in parallel ranges of ``partition_column``.
 
-    Filters, column selection and plain aggregates are pushed to the database.
+    A read through one connection, that is one task, must be asked for by ``single``. Filters, column
+    selection and plain aggregates are pushed to the database.
     """
-    if num_partitions > 1:
-        if partition_column is None or bounds is None:
-            raise ValueError("a parallel read needs partition_column and bounds")
+    if not single:
+        if partition_column is None or bounds is None or not num_partitions:
+            raise ValueError("a parallel read needs partition_column, bounds and num_partitions; or say single=True")
         options |= {"partitionColumn": partition_column, "lowerBound": bounds[0],
                     "upperBound": bounds[1], "numPartitions": num_partitions}
     options |= {"fetchsize": fetch_size, "pushDownAggregate": "true"}

@@ -116,7 +116,10 @@ def test_replacements(spark):
 
 @pytest.mark.parametrize("pattern,repl,n,want", [
     ("a", "<>", 1, "<>bab\nab"), ("a", "<>", 2, "<>b<>b\nab"), ("a", "<>", 9, "<>b<>b\n<>b"), ("a", "$1", 0, "$1b$1b\n$1b"),
-    ("(a)(b)", r"\2\1", 2, "baba\nab"), ("^", ">", 1, ">abab\nab"), ("x", "y", 1, "abab\nab")])
+    ("(a)(b)", r"\2\1", 2, "baba\nab"), ("^", ">", 1, ">abab\nab"), ("x", "y", 1, "abab\nab"),
+    (r"\b", "<>", 1, "<>abab\nab"), (r"\b", "<>", 2, "<>abab<>\nab"), ("(?=b)", "-", 1, "a-bab\nab"), ("(?=b)", "-", 2, "a-ba-b\nab"),
+    (r"\p{L}+", "<>", 1, "<>\nab"), (r"\p{L}+", "<>", 2, "<>\n<>"), (r"(\p{L})(\p{L})\1", r"[\2\1]", 1, "[ba]b\nab"),
+    (r"(\p{L})b", r"\1\1", 2, "aaaa\nab"), ("(b)", r"\1$5", 1, "ab$5ab\nab")])
 def test_replace_first_n(spark, pattern, repl, n, want):
     df = texts(spark, "abab\nab", None)
     assert [r.value for r in names.replace_first_n(df, "value", pattern, repl, n).collect()] == [want, None]

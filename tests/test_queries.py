@@ -27,7 +27,7 @@ def test_query(spark, con, name):
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"rename_duplicates_uuid", "file_inventory"}
+    assert set(QUERIES) == set(SQL)
 
 
 def test_entry_has_all():
