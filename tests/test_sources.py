@@ -273,3 +273,74 @@ def test_stream_relay_retained_and_push(spark, tmp_path):
     pushed = ms.pushed(spark, path("pushed")).where("key = 'b'").collect()
     assert {(r.position, r.value) for r in pushed} == {(1, "v"), (2, "y")}
     assert ms.pushed(spark, path("pushed"), "set").where("key = 'a'").count() == 3
+
+
+def test_late_messages_are_delivered(spark, tmp_path):
+    """Older messages come in later batches; a repeat of each comes too."""
+    box, out, mark = tmp_path / "box", str(tmp_path / "out"), str(tmp_path / "mark")
+    for row in [("a", "p", True, 900_000, 1), ("a", "q", True, 800_000, 2), ("a", "r", True, 20, 3), ("a", "s", True, 10, 4), ("a", "r", True, 20, 3)]:
+        feed(spark, box, [row])
+        ms.consume(ms.deliver(stream(spark, box), 2), out, mark).awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 3, 4]
+
+
+def test_malformed_payload_does_not_stop_a_stream(spark, tmp_path):
+    box, out, mark = tmp_path / "box", str(tmp_path / "out"), str(tmp_path / "mark")
+    rows = spark.sql("select 'a' as topic, x'61ff62' as payload, true as retain, timestamp_seconds(5) as ts, 1L as id")
+    rows.select(*[F.col(f.name).cast(f.dataType) for f in stream(spark, tmp_path).schema]).write.mode("append").parquet(str(box))
+    ms.consume(ms.subscribe(stream(spark, box), "a").select("line"), out, mark).awaitTermination()
+    assert [r.line for r in spark.read.parquet(out).collect()] == ["[a] a\ufffdb"]
+
+
+def test_new_checkpoint_keeps_what_an_old_one_wrote(spark, tmp_path):
+    box, out = tmp_path / "box", str(tmp_path / "out")
+    feed(spark, box, FIRST)
+    for mark in ("m1", "m2"):
+        ms.push(stream(spark, box).withColumn("payload", F.decode("payload", "UTF-8")), "topic", "payload", "id", out,
+                str(tmp_path / mark), fmt="json").awaitTermination()
+    assert spark.read.json(out).count() == 2 * len(FIRST)
+
+
+def test_state_folders_do_not_pile_up(spark, tmp_path):
+    box, out, mark = tmp_path / "box", str(tmp_path / "kept"), str(tmp_path / "mark")
+    for i in range(4):
+        feed(spark, box, [("a", f"v{i}", True, 10 * i, i), (f"t{i}", "w", True, 5, 100 + i)])
+        ms.keep_latest(ms.retained(stream(spark, box)), out, mark).awaitTermination()
+    assert len([p for p in (tmp_path / "kept").iterdir() if p.name.startswith("state=")]) == 2
+    assert {r.topic: bytes(r.payload).decode() for r in ms.latest_state(spark, out).collect()} == {
+        "a": "v3", **{f"t{i}": "w" for i in range(4)}}
+
+
+def test_migrate_never_overwrites_on_create(spark, tmp_path):
+    source, target = m.PathStore(spark, str(tmp_path / "from")), m.PathStore(spark, str(tmp_path / "to"))
+    source.write("a", spark.range(2), "errorifexists", {})
+    target.write("_a", spark.range(5), "errorifexists", {})
+    assert target.names() == ["_a"]
+    report = m.migrate(source, target, rename="concat('_', it)", effect=True).collect()
+    assert [(r.action, r.status) for r in report] == [("skip_exists", "skipped")] and target.read("_a").count() == 5
+    hidden = m.PathStore(spark, str(tmp_path / "to"), names=[])  # one that came in after the plan was made
+    report = m.migrate(source, hidden, rename="concat('_', it)", effect=True).collect()
+    assert report[0].status == "failed" and target.read("_a").count() == 5
+
+
+def test_empty_source_is_replaced_but_not_copied(spark, tmp_path):
+    source, target = m.PathStore(spark, str(tmp_path / "from")), m.PathStore(spark, str(tmp_path / "to"))
+    source.write("a", spark.range(0), "errorifexists", {})
+    target.write("a", spark.range(5), "errorifexists", {})
+    report = m.migrate(source, target, force=True, skip_empty=True, effect=True).collect()
+    assert report[0].status == "skipped_empty" and target.read("a").count() == 0
+
+
+def test_swap_leaves_nothing_behind(spark, tmp_path):
+    target = m.PathStore(spark, str(tmp_path / "to"))
+    target.write("a", spark.range(3), "errorifexists", {})
+    target.swap("a", target.read("a").where("id > 0"), {})
+    assert target.names() == ["a"] and target.read("a").count() == 2
+
+
+def test_key_needs_an_order(spark, tmp_path):
+    store = m.PathStore(spark, str(tmp_path))
+    with pytest.raises(ValueError):
+        m.migrate(store, store, key="id")
+    rows = spark.createDataFrame([(None, 1), (None, 2), (1, 1), (1, 2)], "k int, at int")
+    assert sorted(map(str, map(tuple, sinks.latest_by_key(rows, "k", "at").collect()))) == ["(1, 2)", "(None, 1)", "(None, 2)"]
