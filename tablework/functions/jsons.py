@@ -31,7 +31,8 @@ def _json_key(key: Column) -> Column:
 
 def _differing(own: str, other: str) -> Column:
     there = F.col(other)
-    kept = F.map_filter(own, lambda key, text: ~F.map_contains_key(there, key) | (there[key] != text))
+    # One look-up: no value is null, so a null there is a key that the other side lacks.
+    kept = F.map_filter(own, lambda key, text: ~there[key].eqNullSafe(text))
     members = F.transform(F.sort_array(F.map_entries(kept)),
                           lambda e: F.concat(_json_key(e["key"]), F.lit(":"), e["value"]))
     text = F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
