@@ -33,15 +33,32 @@ def ship(spark: SparkSession) -> None:
     sc._tablework_sent = True
 
 
+#: Has Spark delete the shuffle files of an execution when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scratch(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     """``df`` written to the shared folder and read again, which cuts its lineage.
 
-    The folder is the one of ``spark.checkpoint.dir``, so the table outlives a lost executor.
+    The folder is the one of ``spark.checkpoint.dir``, so the table outlives a lost executor. The shuffle files
+    behind it are deleted once it is written, and the table itself by ``discard`` when nothing reads it any more.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table behind what ``scratch`` returned."""
+    remove(df.sparkSession, df._scratch_path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -60,6 +77,12 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def boxed(df: DataFrame, **named: str) -> DataFrame:
+    """All columns as the struct ``row``, and beside it the named ones under names that can't clash with others."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"),
+                     *[F.col(f"`{c}`").alias(name) for name, c in named.items()])
+
+
 def clear_names(df: DataFrame, *wanted: str) -> DataFrame:
     """The wanted columns only, so that no other column can clash with a name made here."""
     return df.select(*[F.col(f"`{c}`") for c in wanted])
@@ -116,7 +139,9 @@ def components(links: DataFrame) -> DataFrame:
 
     sign = None
     while True:
+        before = edges
         edges = scratch(star(star(edges, True), False), "cc")
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == sign:
             break

@@ -7,11 +7,11 @@ The join is exact for any input: rarity is only used to order the n-grams, and a
 2. A second pass orders each set by (count, hash), rare first, and emits its prefix. Two sets of sizes a <= b
    can only reach the threshold if one of the first a - ceil(6a/7) + 1 of the smaller is among the first
    b - ceil(3b/4) + 1 of the larger (figures for 3/4).
-3. N-grams that one prefix alone has are dropped. In the rest, every node is first compared with one leader
-   that shares most prefix n-grams with it, and the links found make components. Then all pairs that share a
-   prefix n-gram, pass the length and positional filters and are still in different components are compared,
-   each once. Only components are asked for, so pairs inside one need no comparison; that keeps a
-   group of a million near copies from a million million of them.
+3. N-grams that one prefix alone has are dropped. In ``ROUNDS`` rounds every node is compared with one node of another
+   component, the one that it meets at most n-grams of those drawn there, and the links found make components.
+   Then all pairs that share a prefix n-gram, pass the length and positional filters and are still in different
+   components are compared, each once. Only components are asked for, so pairs inside one need no comparison;
+   that keeps a group of a million near copies from a million million of them.
 4. A pair is compared with whole sets: a bound from the sizes of the parts of both sets (suffix filter), then the exact count.
 """
 
@@ -26,13 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablework.llm.common import components, scratch, shuffle_partitions
-from tablework.llm.shingles import shingle_set
+from tablework.llm.common import boxed, components, discard, scratch, shuffle_partitions
+from tablework.llm.shingles import shingle_sets
 
 #: The table of n-gram counts has 2**SKETCH_BITS numbers, 4 MB, whatever the input. At N n-grams in all, those of
 #: more than about 6 * sqrt(N / 2**SKETCH_BITS) documents stand out from the noise and are ordered last.
 SKETCH_BITS = 20
 BLOCK = 4096
+#: Rounds of one comparison a node before the rest is compared pair by pair.
+ROUNDS = 2
 
 
 class Threshold:
@@ -61,8 +63,7 @@ def with_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def sets_of(batch: pa.RecordBatch, words: int) -> Iterator[np.ndarray]:
-    for x in batch.column(1):
-        yield shingle_set(x.as_buffer().to_pybytes() if x.is_valid else None, words)
+    return shingle_sets((x.as_buffer().to_pybytes() if x.is_valid else None for x in batch.column(1)), words)
 
 
 def digest(items: np.ndarray) -> tuple[int, int]:
@@ -71,7 +72,7 @@ def digest(items: np.ndarray) -> tuple[int, int]:
 
 
 def profiles(texts: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
-    """(id, n, d1, d2) of each row, and the table of counts."""
+    """A table with (id, n, d1, d2) of each row where ``block`` is null, and the table of counts."""
     schema = texts.select("id").withColumns({c: F.lit(None).cast(t) for c, t in (
         ("n", "long"), ("d1", "long"), ("d2", "long"), ("block", "int"), ("counts", "binary"))}).schema
 
@@ -104,7 +105,7 @@ def profiles(texts: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
     table = np.zeros(1 << SKETCH_BITS, np.uint32)
     for row in summed(both.where("block is not null").select("block", "counts")).collect():
         table[row["block"] * BLOCK:(row["block"] + 1) * BLOCK] = np.frombuffer(row["counts"], "<u4")
-    return both.where("block is null").select("id", "n", "d1", "d2"), table
+    return both, table
 
 
 def tally(counts: np.ndarray, sets: list[np.ndarray]) -> None:
@@ -193,58 +194,100 @@ def jaccard_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     at = Threshold(num, den)
     texts = with_text(docs, id_col, text_col)
-    rows, table = profiles(texts, words)
-    groups = rows.where("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
-    nodes = scratch(rows.join(groups, ["d1", "d2", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")), "shingle-nodes")
+    both, table = profiles(texts, words)
+    rows = both.where("block is null").select("id", "n", "d1", "d2")
+    groups = scratch(rows.where("n > 0 and id is not null").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")), "shingle-groups")
+    rep = F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")
+    nodes = scratch(rows.join(groups, ["d1", "d2", "n"], "left").select("id", "n", rep), "shingle-nodes")
+    discard(both)
+    discard(groups)
 
     entries = scratch_shared(prefixes(texts, table, words, at), nodes)
     sets = set_table(texts, entries, words)
+    mixed, links, tried = scratch(entries.withColumn("component", F.col("id")), "shingle-mixed"), None, None
+    discard(entries)
+    for turn in range(ROUNDS):
+        pairs = drawn_pairs(mixed, turn, den / num)
+        new = scratch(similar(pairs, sets, at), "shingle-links")
+        links, tried = (new, pairs) if links is None else (links.unionByName(new), tried.unionByName(pairs))
+        mixed = still_mixed(mixed, components(links))
+    more = scratch(similar(all_pairs(mixed, at).join(tried, ["a", "b"], "left_anti"), sets, at), "shingle-links")
+    discard(mixed)
+    discard(sets)
+    every = components(links.unionByName(more))
+
+    return nodes.join(every.select(F.col("node").alias("rep"), "component"), "rep", "left") \
+        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+
+
+def drawn_pairs(mixed: DataFrame, turn: int, band: float) -> DataFrame:
+    """(a, b), a < b: for each node one node of another component, of those drawn the one met at most prefix n-grams.
 
-    # first every node with one leader
-    length_band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num)).cast("int").alias("band")
-    banded = entries.select("*", length_band)
-    leaders = banded.where(at.indexed_sql("n", "pos")).groupBy("h", "band") \
-        .agg(F.min(F.struct("n", "id", "pos")).alias("lead"))
-    met = banded.join(leaders, ["h", "band"]).where("id != lead.id") \
-        .select(F.col("lead.id").alias("a"), F.col("id").alias("b")).groupBy("a", "b").agg(F.count("*").alias("shared"))
-    first = scratch(met.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best")).select("best.a", "b"), "shingle-leaders")
-    links = scratch(similar(first, sets, at), "shingle-links")
-    found = components(links)
-
-    # then all that share a prefix n-gram across components
-    label = entries.join(found.select(F.col("node").alias("id"), "component"), "id", "left") \
-        .withColumn("component", F.coalesce("component", "id"))
-    label = scratch(label, "shingle-labels")
-    sizes = label.groupBy("h", "component").agg(F.count("*").alias("c")).groupBy("h") \
-        .agg(F.count("*").alias("parts"), F.max(F.struct("c", "component")).alias("most")).where("parts > 1").select("h", F.col("most.component").alias("major"))
-    mixed = scratch(label.join(sizes, "h"), "shingle-mixed")
-    one, two = mixed.where("component != major").alias("x"), mixed.alias("y")
+    For each n-gram and band of sizes one node is drawn, so the pairs are as many as the nodes at most. In the first
+    turn it is the node that has the n-gram earliest, that is with the fewest rarer ones: among near copies the one
+    with the fewest changes of its own, to which most others are close. Later turns draw at random among such.
+    """
+    size = F.floor(F.log(F.col("n").cast("double")) / math.log(band)).cast("int")
+    banded = mixed.select("h", "id", "component", size.alias("band"), "pos")
+    early = F.struct(F.col("pos").cast("double").alias("at"), F.lit(0).cast("long").alias("draw")) if turn == 0 else \
+        F.struct(F.floor(F.log2(F.col("pos") + 1.0)).cast("double").alias("at"), F.xxhash64("id", F.lit(turn)).alias("draw"))
+    draw = F.struct(early.alias("early"), F.col("id").alias("a"), F.col("component").alias("other"))
+    leads = scratch(banded.groupBy("h", "band").agg(F.min(draw).alias("lead")).select("h", "band", "lead.a", "lead.other"), "shingle-leads")
+    met = banded.join(leads, ["h", "band"]).where("component != other").groupBy("a", F.col("id").alias("b")).agg(F.count("*").alias("shared"))
+    best = met.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best")).select("best.a", "b")
+    out = scratch(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "shingle-drawn")
+    discard(leads)
+    return out
+
+
+def still_mixed(mixed: DataFrame, found: DataFrame) -> DataFrame:
+    """The entries under their new components, but for n-grams that only one component has now."""
+    label = scratch(mixed.drop("component").join(found.select(F.col("node").alias("id"), "component"), "id", "left")
+                    .withColumn("component", F.coalesce("component", "id")), "shingle-labels")
+    discard(mixed)
+    several = scratch(label.groupBy("h").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+                      .where("low != high").select("h"), "shingle-several")
+    out = scratch(label.join(several, "h"), "shingle-mixed")
+    discard(label)
+    discard(several)
+    return out
+
+
+def all_pairs(mixed: DataFrame, at: Threshold) -> DataFrame:
+    """(a, b), a < b: nodes of different components that share a prefix n-gram and pass the length and positional filters.
+
+    Nodes of the largest component of an n-gram aren't paired with each other, so none of them is looked at twice.
+    """
+    sizes = mixed.groupBy("h", "component").agg(F.count("*").alias("c")).groupBy("h") \
+        .agg(F.max(F.struct("c", "component")).alias("most")).select("h", F.col("most.component").alias("major"))
+    marked = scratch(mixed.join(sizes, "h"), "shingle-marked")
+    one, two = marked.where("component != major").alias("x"), marked.alias("y")
     smaller = "(x.n < y.n or (x.n = y.n and x.id < y.id))"
-    cross = one.join(two, F.expr(
+    out = one.join(two, F.expr(
         f"x.h = y.h and x.component != y.component and (y.component = y.major or {smaller}) "
-        f"and least(x.n, y.n) * {den}L >= greatest(x.n, y.n) * {num}L "
+        f"and least(x.n, y.n) * {at.den}L >= greatest(x.n, y.n) * {at.num}L "
         f"and ({smaller} and {at.indexed_sql('x.n', 'x.pos')} or not {smaller} and {at.indexed_sql('y.n', 'y.pos')}) "
         f"and least(x.n - x.pos, y.n - y.pos) >= {at.overlap_sql('x.n + y.n')}")) \
         .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = similar(cross.join(tried, ["a", "b"], "left_anti"), sets, at)
-    every = components(links.unionByName(more))
-
-    return nodes.join(every.select(F.col("node").alias("rep"), "component"), "rep", "left") \
-        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
+    out = scratch(out, "shingle-pairs")
+    discard(marked)
+    return out
 
 
 def scratch_shared(entries: DataFrame, nodes: DataFrame) -> DataFrame:
     """The entries whose n-gram two nodes at least have, by node; written down."""
     entries = entries.withColumn("place", F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).drop("n", "pos")
-    laid = entries
+    laid = scratch(entries, "shingle-prefixes")
     twice = laid.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     by_node = laid.join(twice, "h").join(nodes.groupBy("id").agg(F.min("rep").alias("rep")), "id") \
         .select("h", F.col("rep").alias("id"), "place").distinct()
     by_node = scratch(by_node, "shingle-repeated")
+    discard(laid)
     still = by_node.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    return scratch(by_node.join(still, "h").select("h", "id", F.shiftright("place", 32).cast("int").alias("n"),
-                                                  F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos")), "shingle-entries")
+    out = scratch(by_node.join(still, "h").select("h", "id", F.shiftright("place", 32).cast("int").alias("n"),
+                                                 F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos")), "shingle-entries")
+    discard(by_node)
+    return out
 
 
 def set_table(texts: DataFrame, entries: DataFrame, words: int) -> DataFrame:
@@ -262,5 +305,6 @@ def set_table(texts: DataFrame, entries: DataFrame, words: int) -> DataFrame:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, num: int = 3, den: int = 4) -> DataFrame:
     """The rows of ``docs`` whose id is their group's smallest; rows of null id stay."""
-    gone = jaccard_groups(docs, id_col, text_col, words, num, den).where(f"`{id_col}` != component_id").select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    gone = jaccard_groups(docs, id_col, text_col, words, num, den).where(F.col(f"`{id_col}`") != F.col("component_id")) \
+        .select(F.col(f"`{id_col}`").alias("gone"))
+    return boxed(docs, id=id_col).join(gone, F.expr("id = gone"), "left_anti").select("row.*")
