@@ -80,11 +80,19 @@ class LineRuns:
         remove(self.spark, self.paths.pop(table))
 
     def all(self) -> DataFrame:
+        """Every key once, with the smallest id that holds it."""
         first, *rest = self.tables()
         for t in rest:
             first = first.unionByName(t)
         return first
 
+    def release(self) -> DataFrame:
+        """The same, read from the files; the catalog has no entries of the runs any more."""
+        schema, names = self.all().schema, [t for level in self.levels for t in level]
+        for t in names:
+            self.spark.sql(f"DROP TABLE {t}")  # the files stay, as the tables have paths of their own
+        return self.spark.read.schema(schema).parquet(*[self.paths[t] for t in names])
+
 
 def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int = 10, batches: int = 4) -> DataFrame:
     """(id, h1, h2) of the lines that an earlier document has: all holders of a key but the smallest id.
@@ -108,7 +116,7 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int =
     runs = LineRuns(spark)
     for i in range(len(bounds) + 1):
         runs.add(entries.where(F.col("_batch") == i))
-    return entries.join(runs.all(), ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("first_id"))) \
+    return entries.join(runs.release(), ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("first_id"))) \
         .select("id", "h1", "h2")
 
 
