@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Texts longer than this are encoded in parts.
 PART_CHARS = 1 << 16
 #: Distinct pieces whose ids a worker keeps; beyond, it starts afresh.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 200_000
 
 #: A blank after white space: only there is a cut before a blank not a boundary of the pattern.
 UNSAFE = re.compile(r"\s ")

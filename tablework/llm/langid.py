@@ -19,7 +19,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 #: Longer words are scored in blocks of so many bytes, so that no product underflows.
 BLOCK = 48
 #: Text handled at a time in a worker.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_000_000
 #: Share of the bytes' uniform distribution in each language's pieces, so that every word has a probability.
 FLOOR = 0.02
 BASE = np.uint64(0x100000001B3)
@@ -101,12 +101,12 @@ def forward(lattice: list[np.ndarray], p: np.ndarray) -> np.ndarray:
 
 
 def by_length(words: list[bytes]) -> Iterator[np.ndarray]:
-    """Positions of the words, by length, at most 20,000 at a time."""
+    """Positions of the words, by length, at most 4,000 at a time."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(sizes, kind="stable")
     for same in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1) if len(order) else []:
-        for i in range(0, len(same), 20_000):
-            yield same[i:i + 20_000]
+        for i in range(0, len(same), 4_000):
+            yield same[i:i + 4_000]
 
 
 def score_words(pieces: Pieces, words: list[bytes], p: np.ndarray) -> np.ndarray:
@@ -203,8 +203,9 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], rank_file: str, text_
     two new names, which are replaced.
     """
     kept = [c for c in docs.columns if c not in (lang_out, score_out)]
-    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{text_col}`").cast("binary").alias("text"))
-    schema = given.select("row").withColumns({"lang": F.lit(""), "score": F.lit(0.0)}).schema
+    rest = F.struct(*[F.col(f"`{c}`") for c in kept if c != text_col] or [F.lit(0).alias("none")])
+    given = docs.select(rest.alias("row"), F.col(f"`{text_col}`").cast("binary").alias("text"))  # the text goes there and back once
+    schema = given.withColumns({"lang": F.lit(""), "score": F.lit(0.0)}).schema
     langs = sorted(model)
     table = np.append(np.stack([model[x] for x in langs], 1), np.zeros((1, len(langs))), 0) if langs else None
     shared = docs.sparkSession.sparkContext.broadcast(table)
@@ -252,9 +253,11 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], rank_file: str, text_
                     chunk, chars = [], 0
             for out, new in zip((names, scores), judge(chunk)):
                 out += new
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema.names)
 
-    return given.mapInArrow(run, schema).select("row.*", F.col("lang").alias(lang_out), F.col("score").alias(score_out))
+    told = given.mapInArrow(run, schema)
+    columns = [F.col("text").cast("string").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in kept]
+    return told.select(*columns, F.col("lang").alias(lang_out), F.col("score").alias(score_out))
 
 
 def held_out(id_col: str = "doc_id"):
