@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from tablework.llm.common import components, scratch
 
-#: Rows of one block; a task multiplies two blocks at most.
+#: Residents of a cell that one block holds; a task multiplies two blocks, or one with a block of visitors.
 BLOCK = 1024
+VISITORS = 4096
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -141,35 +142,34 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def linked_blocks(frame: pd.DataFrame, least: float) -> pd.DataFrame:
-    """Links of one pair of blocks of a cell: per row the number of vectors found, and another row of its group."""
-    cell, i, j = int(frame["cell"].iloc[0]), int(frame["i"].iloc[0]), int(frame["j"].iloc[0])
-    frame = frame.sort_values(["block", "id"], ignore_index=True)
+    """Links of one task: per row the number of vectors found, and another row of its group.
+
+    The task has either the residents of blocks i and j of a cell, or those of block i and a block of visitors.
+    """
+    frame = frame.sort_values(["resident", "block", "id"], ignore_index=True)
+    cell, i, j, visit = (int(frame[c].iloc[0]) for c in ("cell", "i", "j", "visit"))
     x = unit(np.stack([np.frombuffer(r, "<f8") for r in frame["raw"]]))
-    home, block, m = frame["home"].to_numpy(), frame["block"].to_numpy(), frame["m"].to_numpy()
-    lives = home == cell
-    rows, mates = np.flatnonzero(block == i), np.flatnonzero((block == j) & lives)
-    found_a, found_b = [], []
-
-    def compare(left: np.ndarray, right: np.ndarray) -> None:
-        """Rows of ``left`` with those of ``right``, which live here."""
-        if not len(left) or not len(right):
-            return
-        ok = x[left] @ x[right].T >= least
-        guests = ~lives[left]
-        for other in np.unique(home[left[guests]]):
-            if other < cell:  # found there already, if the resident visits there
-                there = np.array([other in v for v in frame["visits"].iloc[right]])
-                ok[np.ix_(home[left] == other, there)] = False
-        if left is not right and i == j or left is right:
-            ok[(lives[left][:, None]) & (left[:, None] >= right[None, :])] = False
+    home, block, m, lives = (frame[c].to_numpy() for c in ("home", "block", "m", "resident"))
+    right = np.flatnonzero(lives & (block == (i if visit >= 0 else j)))
+    left = np.flatnonzero(~lives if visit >= 0 else block == i)
+    seen = [np.asarray(frame["visits"].iloc[r], np.int64) for r in right] if visit >= 0 else []
+    flat, owner = (np.concatenate(seen), np.repeat(np.arange(len(right)), [len(v) for v in seen])) if seen else (None, None)
+    found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(left), 2048):
+        part = left[at:at + 2048]
+        ok = x[part] @ x[right].T >= least
+        if visit >= 0:
+            for other in np.unique(home[part]):
+                if other < cell:  # found in that cell already, if the resident visits there
+                    there = np.zeros(len(right), bool)
+                    there[owner[flat == other]] = True
+                    ok[np.ix_(home[part] == other, there)] = False
+        elif i == j:
+            ok[part[:, None] >= right[None, :]] = False
         p, q = np.nonzero(ok)
-        found_a.append(left[p])
+        found_a.append(part[p])
         found_b.append(right[q])
-
-    compare(rows, mates)
-    if i != j:
-        compare(np.flatnonzero((block == j) & ~lives), np.flatnonzero((block == i) & lives))
-    a, b = (np.concatenate(f) if f else np.zeros(0, int) for f in (found_a, found_b))
+    a, b = np.concatenate(found_a), np.concatenate(found_b)
     n = np.bincount(a, m[b], len(frame)) + np.bincount(b, m[a], len(frame))
     root = forest(len(frame), a, b)
     out = frame[["id"]].assign(n=n.astype("int64"), mate=frame["id"].to_numpy()[root])
@@ -177,7 +177,7 @@ def linked_blocks(frame: pd.DataFrame, least: float) -> pd.DataFrame:
 
 
 def similar_groups(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95,
-                   margin: float = 0.12, cell_rows: int = 1024, most_cells: int = 4096, sample_rows: int = 50_000) -> DataFrame:
+                   margin: float = 0.1, cell_rows: int = 1024, most_cells: int = 4096, sample_rows: int = 50_000) -> DataFrame:
     """One row per row of ``rows``: id, n_links, component_id, kept.
 
     Two vectors link if their cosine, in double precision, is ``least`` or more. Exact copies (by digest, scaled) are
@@ -201,16 +201,25 @@ def similar_groups(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     model = fit_cells(reps, cell_rows, most_cells, sample_rows)
     placed = scratch(assign(reps, model, margin).select("id", "raw", "dim", "m", "home", "visits"), "vector-cells")
 
-    stays = placed.withColumn("cell", F.explode(F.concat(F.array("home"), "visits")))
-    sizes = stays.groupBy("dim", "cell").agg(F.count("*").alias("rows")) \
-        .select("dim", "cell", F.ceil(F.col("rows") / BLOCK).cast("int").alias("blocks"))
+    stays = placed.withColumn("cell", F.explode(F.concat(F.array("home"), "visits"))) \
+        .withColumn("resident", F.col("cell") == F.col("home"))
+    blocks = lambda n, size: F.ceil(n / size).cast("int")
+    sizes = stays.groupBy("dim", "cell").agg(F.count_if("resident").alias("residents"), F.count_if(~F.col("resident")).alias("visitors")) \
+        .where("residents > 0").select("dim", "cell", blocks(F.col("residents"), BLOCK).alias("r"), blocks(F.col("visitors"), VISITORS).alias("v"))
+    up_to = lambda n, f: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), f)).otherwise(
+        F.array().cast("array<struct<i:int,j:int,visit:int>>"))
+    task = lambda i, j, visit: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), visit.cast("int").alias("visit"))
+    none, own = F.lit(-1), F.col("block")
+    tasks = F.when(F.col("resident"), F.concat(
+        up_to(F.col("r"), lambda other: task(F.least(own, other), F.greatest(own, other), none)),
+        up_to(F.col("v"), lambda visit: task(own, none, visit)))) \
+        .otherwise(up_to(F.col("r"), lambda other: task(other, none, own)))
     dealt = stays.join(sizes, ["dim", "cell"]) \
-        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")) \
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))) \
-        .select("dim", "cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
-                "id", "raw", "m", "home", "visits", "block")
+        .withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("resident"), F.col("r")).otherwise(F.col("v"))).cast("int")) \
+        .withColumn("task", F.explode(tasks)) \
+        .select("dim", "cell", "task.*", "id", "raw", "m", "home", F.when(F.col("resident"), F.col("visits")).alias("visits"), "block", "resident")
     kind = dict(reps.dtypes)["id"]
-    found = scratch(dealt.groupBy("dim", "cell", "i", "j").applyInPandas(
+    found = scratch(dealt.groupBy("dim", "cell", "i", "j", "visit").applyInPandas(
         lambda frame: linked_blocks(frame, least), f"id {kind}, n long, mate {kind}"), "vector-links")
     n_links = found.groupBy("id").agg(F.sum("n").alias("n"))
     parts = components(found.select(F.col("id").alias("a"), F.col("mate").alias("b")))

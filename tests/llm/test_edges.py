@@ -265,7 +265,7 @@ def test_bpe_columns(spark, odd, none):
     assert bpe.round_trip(none, queries.RANKS, public_tokenizers.PATTERN).count() == 0
 
 
-def test_embeddings(spark):
+def test_embeddings(spark, monkeypatch):
     rng, rows = np.random.default_rng(3), []
     for i in range(400):
         base = rng.normal(size=8)
@@ -274,13 +274,11 @@ def test_embeddings(spark):
                                                       rows[0][1], [2 * x for x in rows[0][1]], rows[0][1][:4], [1e300] * 8, [1e-300] * 8])]
     df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, raw string, home int")
     want = plain.vector_groups(rows, 0.95)
-    for cell, block in ((1024, 1024), (60, 20)):
-        embedding_dedup_block, embedding_dedup.BLOCK = embedding_dedup.BLOCK, block
-        try:
-            out = embedding_dedup.similar_groups(df, margin=0.3122499, cell_rows=cell)
-            assert {r[0]: tuple(r)[1:] for r in out.collect()} == want
-        finally:
-            embedding_dedup.BLOCK = embedding_dedup_block
+    for cell, block, visitors in ((1024, 1024, 4096), (60, 20, 50)):
+        monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+        monkeypatch.setattr(embedding_dedup, "VISITORS", visitors)
+        out = embedding_dedup.similar_groups(df, margin=0.3122499, cell_rows=cell)
+        assert {r[0]: tuple(r)[1:] for r in out.collect()} == want
     assert embedding_dedup.similar_groups(df.limit(0)).count() == 0
     twice = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0]), (7, [1.0, 0.01])], "vec_id long, embedding array<float>")
     assert sorted(str(tuple(r)) for r in embedding_dedup.similar_groups(twice).collect()) == \
