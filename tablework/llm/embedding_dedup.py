@@ -97,8 +97,8 @@ def assign(reps: DataFrame, model: dict[int, np.ndarray], margin: float) -> Data
     """``reps`` with ``home``, the nearest cell, and ``visits``, the other cells where a partner may live.
 
     A vector with cosine t to x lies in cell c' rather than x's own cell c only if (c - c')x is at most
-    sqrt(1 - t * t) * |c - c'|, and that needs the step between them to point straight from c to c'. ``margin``
-    stands in for sqrt(1 - t * t).
+    sqrt(1 - t * t) * |c - c'|. ``margin`` stands in for sqrt(1 - t * t). The same holds for the partner, so of
+    two cells only one sends visitors to the other, and each pair of vectors meets at most once.
     """
     schema = reps.withColumns({"home": F.lit(0), "visits": F.array(F.lit(0))}).schema
     shared = reps.sparkSession.sparkContext.broadcast(model)
@@ -119,6 +119,8 @@ def assign(reps: DataFrame, model: dict[int, np.ndarray], margin: float) -> Data
                     home[at] = own
                     apart = np.sqrt(np.maximum(2 - 2 * centres[own] @ centres.T, 0))
                     may = near[np.arange(len(at)), own][:, None] - near <= margin * apart + 1e-9
+                    cells = np.arange(len(centres))
+                    may &= (cells < own[:, None]) == ((cells + own[:, None]) % 2 == 0)  # the lower cell is host if both are even or odd
                     may[np.arange(len(at)), own] = False
                     for j, row in zip(at, may):
                         visits[j] = np.flatnonzero(row).tolist()
@@ -147,28 +149,27 @@ def linked_blocks(frame: pd.DataFrame, least: float) -> pd.DataFrame:
     The task has either the residents of blocks i and j of a cell, or those of block i and a block of visitors.
     """
     frame = frame.sort_values(["resident", "block", "id"], ignore_index=True)
-    cell, i, j, visit = (int(frame[c].iloc[0]) for c in ("cell", "i", "j", "visit"))
+    i, j, visit = (int(frame[c].iloc[0]) for c in ("i", "j", "visit"))
     x = unit(np.stack([np.frombuffer(r, "<f8") for r in frame["raw"]]))
-    home, block, m, lives = (frame[c].to_numpy() for c in ("home", "block", "m", "resident"))
+    block, m, lives = (frame[c].to_numpy() for c in ("block", "m", "resident"))
     right = np.flatnonzero(lives & (block == (i if visit >= 0 else j)))
     left = np.flatnonzero(~lives if visit >= 0 else block == i)
-    seen = [np.asarray(frame["visits"].iloc[r], np.int64) for r in right] if visit >= 0 else []
-    flat, owner = (np.concatenate(seen), np.repeat(np.arange(len(right)), [len(v) for v in seen])) if seen else (None, None)
+    single = x.astype("<f4")
+    slack = (x.shape[1] + 8) * 2.0 ** -23  # more than single precision can be off
     found_a, found_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for at in range(0, len(left), 2048):
         part = left[at:at + 2048]
-        ok = x[part] @ x[right].T >= least
-        if visit >= 0:
-            for other in np.unique(home[part]):
-                if other < cell:  # found in that cell already, if the resident visits there
-                    there = np.zeros(len(right), bool)
-                    there[owner[flat == other]] = True
-                    ok[np.ix_(home[part] == other, there)] = False
-        elif i == j:
-            ok[part[:, None] >= right[None, :]] = False
-        p, q = np.nonzero(ok)
-        found_a.append(part[p])
-        found_b.append(right[q])
+        near = single[part] @ single[right].T
+        p, q = np.nonzero(near >= least - slack)
+        ok = near[p, q] >= least + slack
+        a, b = part[p], right[q]
+        unsure = np.flatnonzero(~ok)
+        for some in np.split(unsure, range(65_536, len(unsure), 65_536)):
+            ok[some] = np.einsum("ij,ij->i", x[a[some]], x[b[some]]) >= least
+        if i == j:
+            ok &= a < b
+        found_a.append(a[ok])
+        found_b.append(b[ok])
     a, b = np.concatenate(found_a), np.concatenate(found_b)
     n = np.bincount(a, m[b], len(frame)) + np.bincount(b, m[a], len(frame))
     root = forest(len(frame), a, b)
@@ -177,19 +178,20 @@ def linked_blocks(frame: pd.DataFrame, least: float) -> pd.DataFrame:
 
 
 def similar_groups(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", least: float = 0.95,
-                   margin: float = 0.1, cell_rows: int = 1024, most_cells: int = 4096, sample_rows: int = 50_000) -> DataFrame:
+                   margin: float | None = None, cell_rows: int = 1024, most_cells: int = 4096, sample_rows: int = 50_000) -> DataFrame:
     """One row per row of ``rows``: id, n_links, component_id, kept.
 
     Two vectors link if their cosine, in double precision, is ``least`` or more. Exact copies (by digest, scaled) are
     compared once and counted. A vector is compared with all of its cell and of the cells within
-    ``margin`` (see ``assign``); sqrt(1 - least**2), 0.3122 for 0.95, finds every link for certain, at the price
-    of more cells. The default finds those whose difference is not aligned with the step between two
-    centroids; on the test tables it finds all. What is found is never capped: blocks of a large cell are
-    compared pair by pair in separate tasks, and each reports counts and a spanning forest, not pairs.
+    ``margin`` (see ``assign``). The default, sqrt(1 - least**2), finds every link for certain, for vectors in no
+    clusters at the price of comparing nearly all; a smaller one loses links. What is found is never capped: blocks
+    of a large cell are compared pair by pair in separate tasks, and each reports counts and a spanning forest, not pairs.
 
     Null, zero and non-finite vectors, those with null components, and rows of null id link with nothing and stay; vectors of
     different length don't link. ``kept`` marks the smallest id of a group. Other columns are not read.
     """
+    if margin is None:  # a hair more, for rounding; below 0 any cell may hold a partner
+        margin = math.sqrt(max(0.0, 1 - max(least - 1e-12, 0.0) ** 2))
     given = rows.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").alias("embedding"))
     all_rows = scratch(valid_rows(given), "vectors")
     able = all_rows.where("raw is not null and id is not null")
@@ -217,7 +219,7 @@ def similar_groups(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     dealt = stays.join(sizes, ["dim", "cell"]) \
         .withColumn("block", F.pmod(F.xxhash64("id"), F.when(F.col("resident"), F.col("r")).otherwise(F.col("v"))).cast("int")) \
         .withColumn("task", F.explode(tasks)) \
-        .select("dim", "cell", "task.*", "id", "raw", "m", "home", F.when(F.col("resident"), F.col("visits")).alias("visits"), "block", "resident")
+        .select("dim", "cell", "task.*", "id", "raw", "m", "block", "resident")
     kind = dict(reps.dtypes)["id"]
     found = scratch(dealt.groupBy("dim", "cell", "i", "j", "visit").applyInPandas(
         lambda frame: linked_blocks(frame, least), f"id {kind}, n long, mate {kind}"), "vector-links")

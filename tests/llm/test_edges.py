@@ -285,6 +285,16 @@ def test_embeddings(spark, monkeypatch):
         ["(1, 2, 1, True)", "(1, 2, 1, True)", "(7, 2, 1, False)", "(None, 0, None, True)"]
 
 
+def test_embeddings_across_cells(spark):
+    # few dimensions, so that partners straddle two cells along the step between the centroids
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=3 + i % 2).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for least in (0.95, 0.5, -0.2):
+        out = embedding_dedup.similar_groups(df, least=least, cell_rows=12).collect()
+        assert {r[0]: tuple(r)[1:] for r in out} == plain.vector_groups(rows, least)
+
+
 def test_licenses(spark, none):
     mit = licenses.LICENSES["MIT"]
     rows = [(1, "Copyright (c) 2020 Somebody\nAll rights reserved.\n\n" + mit.upper().replace("SUBLICENSE", "SUB-LICENCE").replace(" ", "\n"), None, None),
