@@ -245,6 +245,30 @@ def _(t):
     return fl.copy_plan(files, [r".*\.pdf", r".*\.epub"], there)
 
 
+@check("copy_plan_books", f"""
+    with files as (
+        select lang as kind, source || '/b' || (doc_id // 64) as book, n_chars || ['.epub', '.mobi', '.txt', '.pdf'][n_chars % 4 + 1] as file
+        from documents),
+    picks as (
+        select kind, book, min(case when file like '%.pdf' then '1:' || file when file like '%.epub' then '2:' || file end) as pick
+        from files group by all),
+    named as (select kind, book, substr(pick, 3) as file, kind || '/' || book || '/' || substr(pick, 3) as path, kind || '/' || substr(pick, 3) as target from picks)
+    select *, case when target is null then 'unmatched'
+                   when target in (select lang || '/' || n_chars || '.pdf' from documents where doc_id in (select doc_id from labels)) then 'target_exists'
+                   when row_number() over (partition by target order by path) = 1 then 'copy' else 'target_claimed' end as action
+    from named
+""")
+def _(t):
+    """All documents, in small books; files of one length share a name, and the labelled ones were copied as PDF."""
+    ext = F.get(F.array(*[F.lit(e) for e in EXTENSIONS]), (F.col("n_chars") % 4).cast("int"))
+    book = F.concat_ws("/", "source", F.concat(F.lit("b"), F.floor(F.col("doc_id") / 64).cast("string")))
+    files = t.documents.select(F.col("lang").alias("kind"), book.alias("book"),
+                               F.concat(F.col("n_chars").cast("string"), ext).alias("file"))
+    there = t.documents.join(t.labels.select("doc_id").distinct(), "doc_id", "left_semi") \
+        .select(F.concat("lang", F.lit("/"), F.col("n_chars").cast("string"), F.lit(".pdf")).alias("target"))
+    return fl.copy_plan(files, [r".*\.pdf", r".*\.epub"], there)
+
+
 @check("map_files", """
     select lang || '/' || source || '/' || doc_id || '.txt' as path, strlen(text) as n_bytes,
            md5(text) as digest from documents

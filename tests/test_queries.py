@@ -37,3 +37,10 @@ def test_entry_has_all():
 def test_entry(spark):
     rows = entry.entry(spark)
     assert rows.columns == ["p_partkey", "old_value", "new_value"] and rows.count() > 0
+
+
+def test_copy_plan_has_every_document(con):
+    """No document is left out, and every action occurs."""
+    sql = SQL["copy_plan_books"]
+    books = con.execute("select count(*) from (select distinct lang, source, doc_id // 64 from documents)").fetchone()[0]
+    assert con.execute(f"select count(*), count(distinct action) from ({sql})").fetchone() == (books, 4)
