@@ -38,7 +38,20 @@ Permission is granted to anyone to use this software for any purpose, including
 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution.""",
 }
-#: Notices of one line, each the entire text of a line.
+#: Titles that copies of these licences usually begin with.
+TITLES = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "Expat License", "MIT License (Expat)"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"],
+    "0BSD": ["BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "BSD Zero Clause License (0BSD)", "Zero-Clause BSD (0BSD)",
+             "0BSD License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "2-Clause BSD License", "Simplified BSD License",
+                     "The Simplified BSD License", 'BSD 2-Clause "Simplified" License', "FreeBSD License", "BSD License", "The BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "3-Clause BSD License", "New BSD License",
+                     "The New BSD License", "Modified BSD License", "Revised BSD License", 'BSD 3-Clause "New" or "Revised" License', "BSD License",
+                     "The BSD License"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License", "zlib License (Zlib)"],
+}
+#: Other entire texts: notices of one line, and below the licences with a title.
 NOTICES = {
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the MIT License."],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\");"],
@@ -48,14 +61,34 @@ NOTICES = {
     "CC-BY-4.0": ["Licensed under CC BY 4.0."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0."],
 }
+NOTICES |= {k: NOTICES.get(k, []) + [f"{title}\n{LICENSES[k]}" for title in titles] for k, titles in TITLES.items()}
 #: Spellings that count as one, applied to whole words in this order; words stand two blanks apart.
 SPELLINGS = [
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub  license", "sublicense"),
     ("non  infringement", "noninfringement"), ("acknowledgement", "acknowledgment"), ("https", "http"), ("organisation", "organization"),
     ("favour", "favor"), ("copyright  owner", "copyright  holder"), ("copyright  owners", "copyright  holders"),
 ]
-#: Lines that name an owner or a title and vary between copies of a licence.
-OWNER_LINE = r"(^|\n)[ \t]*(copyright[ \t]*(\(c\)|©|[0-9])|\(c\)|©|all rights reserved)[^\n]*"
+#: Words after "copyright" that make a line part of a sentence, as where a licence is wrapped, and not the name of an owner.
+NO_NAMES = ["and", "in", "interest", "interests", "is", "law", "laws", "license", "licenses", "licence", "licences", "notice", "notices", "of", "or",
+            "holder", "holders", "owner", "owners", "protection", "statement"]
+
+
+def name_start(words: list[str]) -> str:
+    """Pattern of the start of a lower-case name whose first word is none of ``words``; RE2 has no look-ahead."""
+    parts = []
+    for head in sorted({w[:i] for w in words for i in range(len(w) + 1)}):
+        after = "".join(sorted({w[len(head)] for w in words if w.startswith(head) and len(w) > len(head)}))
+        if not head:  # a letter, a digit, other than ASCII, or the bracket of a placeholder
+            parts.append(rf"[^\x00-\x2F\x3A-\x3B\x3D-\x5A\x5C-\x60\x7C-\x7F{after}]")
+        elif head in words:
+            parts.append(rf"{head}[^\x00-\x60\x7B-\x7F{after}]")
+        else:
+            parts.append(rf"{head}([^\n{after}]|\b)")
+    return "(" + "|".join(parts) + ")"
+
+
+#: Lines that name an owner and vary between copies of a licence.
+OWNER_LINE = r"(^|\n)[ \t]*(copyright[ \t]*(\(c\)|©|[0-9])|copyright[ \t]*[: \t][ \t]*" + name_start(NO_NAMES) + r"|\(c\)|©|all rights reserved)[^\n]*"
 #: What isn't part of a word: ASCII but letters, digits and the line end, and typographic marks.
 PUNCTUATION = r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F‘’“”–—•]+"
 

@@ -2,8 +2,10 @@
 
 import hashlib
 import json
+import textwrap
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -309,6 +311,24 @@ def test_licenses(spark, none):
     assert licenses.license_scan(docs_of(spark, rows), known.limit(0)).where("license_id is not null").count() == 0
 
 
+def test_licenses_as_shipped(spark):
+    texts, wrapped = licenses.LICENSES, {k: "\n".join(textwrap.fill(x, 60) for x in t.split("\n")) for k, t in licenses.LICENSES.items()}
+    owners = ["Copyright (c) 2020 A", "Copyright The X Authors", "Copyright: Acme Inc.", "copyright  holderness Ltd", "Copyright No", "Copyright <YEAR> <OWNER>",
+              "Copyright Ýmir"]
+    titles = {"MIT": "MIT License", "ISC": "ISC License", "0BSD": "BSD Zero Clause License", "BSD-2-Clause": "BSD 2-Clause License",
+              "BSD-3-Clause": "BSD 3-Clause License", "Zlib": "zlib License"}
+    want = [(k, f"{title}\n\n{owner}\n\n{wrapped[k]}\n") for k, title in titles.items() for owner in owners]
+    # every width, so that each "copyright" of a body begins a line
+    want += [(k, textwrap.fill(t, width)) for k, t in texts.items() for width in range(40, 90)]
+    want += [(None, f"{line}\n{texts['MIT']}") for line in ("Copyright notice of A", "copyright  law", "Copyright holders: A", "Copyright, A", "GPL License")]
+    docs = docs_of(spark, [(i, t, None, None) for i, (_, t) in enumerate(want)])
+    got = {r["doc_id"]: r["license_id"] for r in licenses.license_scan(docs, licenses.known_licenses(spark)).collect()}
+    assert [got[i] for i in range(len(want))] == [k for k, _ in want]
+    sql = queries.ORACLES["op7_license_scan"]
+    docs.select("doc_id", "text").toPandas().pipe(lambda documents: duckdb.from_df(documents).create_view("documents"))
+    assert dict(duckdb.sql(f"select doc_id, license_id from ({sql})").fetchall()) == got
+
+
 def test_tool_calls(spark):
     calls = [(1, "a", 5, "f", '{"y": 1, "x": "s"}', []), (1, "b", 1, "f", '{"x": 3, "z": null}', ["a"]), (1, "c", 0, "f", "{bad", ["a", "b", "q"]),
              (1, "d", 9, "g", None, None), (2, "a", 1, "f", '{"x": "é\\n", "y": 2.5}', ["b"]), (2, "b", 2, "f", '[1]', ["a"]),
