@@ -11,7 +11,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Runs of letters; digits that \w has besides are told apart below.
@@ -166,21 +166,40 @@ def train(docs: DataFrame, rank_file: str, text_col: str = "text", lang_col: str
           sample_chars: int = 3_000_000, rounds: int = 4, max_langs: int = 200) -> dict[str, np.ndarray]:
     """Piece probabilities by language, from the labelled rows of ``docs``.
 
-    Each language is fitted on a sample of its whole texts, picked by a hash of the id, whose expected
-    length is at most ``sample_chars`` characters; that bound makes the fit one small task per language. The model has one
-    float per piece and language, at most ``max_langs`` of them. Rows with null text or label teach nothing.
+    Each language is fitted on its whole texts in the order of a hash, at least one, until they have ``sample_chars``
+    characters or more; so the fit is one task per language over that many characters and at most the rest of one text. The model
+    has one float per piece and language, at most ``max_langs`` of them. Rows with null label, or with a text that is null or has no
+    letters, teach nothing.
     """
-    labelled = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")) \
-        .where("text is not null and lang is not null")
-    chars = labelled.groupBy("lang").agg(F.sum(F.char_length("text")).alias("n")).limit(max_langs + 1).collect()
+    labelled = docs.select(F.shiftrightunsigned(F.xxhash64(F.lit("sample"), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), 1).alias("h"),
+                           F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")) \
+        .where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    # bands of hashes, each as wide as all before it together, tell roughly where the sample ends
+    band, size = F.length(F.bin("h")), F.char_length("text").cast("long")
+    chars = labelled.groupBy("lang", band.alias("band")).agg(F.sum(size).alias("n")) \
+        .groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("band", "n"))).alias("bands")).limit(max_langs + 1).collect()
     if len(chars) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
     if not chars:
         return {}
-    share = F.lit(0.0)
+    end, before = F.lit(None).cast("int"), F.lit(0).cast("long")
     for row in chars:
-        share = F.when(F.col("lang") == row["lang"], F.lit(min(1.0, sample_chars / max(row["n"], 1)))).otherwise(share)
-    drawn = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 30)) < share * F.lit(float(1 << 30))
+        so_far = 0
+        for b, n in row["bands"]:
+            if so_far + n >= sample_chars:
+                end = F.when(F.col("lang") == row["lang"], F.lit(b)).otherwise(end)
+                before = F.when(F.col("lang") == row["lang"], F.lit(so_far).cast("long")).otherwise(before)
+                break
+            so_far += n
+    # in the band of the end, ids' hashes and lengths only
+    upto = F.sum("n").over(Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, -1))
+    ends = labelled.where(band == end).select("lang", "h", size.alias("n"), before.alias("before")) \
+        .withColumn("before", F.col("before") + F.coalesce(upto, F.lit(0))) \
+        .where((F.col("before") < sample_chars) | (F.col("before") == 0)).groupBy("lang").agg(F.max("h").alias("h")).collect()
+    last = F.lit((1 << 63) - 1)
+    for row in ends:
+        last = F.when(F.col("lang") == row["lang"], F.lit(row["h"]).cast("long")).otherwise(last)
+    drawn = F.col("h") <= last
 
     def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         counts: Counter = Counter()
@@ -189,8 +208,11 @@ def train(docs: DataFrame, rank_file: str, text_col: str = "text", lang_col: str
         p = fit(vocabulary(rank_file), counts, rounds)
         return pd.DataFrame({"lang": [key[0]], "p": [p.astype("<f4").tobytes()], "words": [len(counts)]})
 
-    fitted = labelled.where(drawn).groupBy("lang").applyInPandas(one, "lang string, p binary, words long").collect()
-    return {r["lang"]: np.frombuffer(r["p"], "<f4").astype(float) for r in sorted(fitted) if r["words"]}
+    fitted = labelled.where(drawn).select("lang", "text").groupBy("lang").applyInPandas(one, "lang string, p binary, words long").collect()
+    model = {r["lang"]: np.frombuffer(r["p"], "<f4").astype(float) for r in sorted(fitted) if r["words"]}
+    if missing := sorted({r["lang"] for r in chars} - set(model)):
+        raise ValueError(f"languages without a model: {missing}")
+    return model
 
 
 def predict(docs: DataFrame, model: dict[str, np.ndarray], rank_file: str, text_col: str = "text",

@@ -287,6 +287,17 @@ def test_embeddings(spark, monkeypatch):
         ["(1, 2, 1, True)", "(1, 2, 1, True)", "(7, 2, 1, False)", "(None, 0, None, True)"]
 
 
+def test_language_sample_of_few_long_texts(spark):
+    # most characters of a language in one text; a null id and texts without letters among them
+    texts = {"aa": ["wort haus baum " * 20] * 3 + ["wort haus baum " * 20_000], "bb": ["tree house word " * 30_000], "cc": ["12 34"] * 9 + ["mot arbre"]}
+    for lang in [f"d{i}" for i in range(12)]:
+        texts[lang] = [f"x{lang[1:]} foo " * 10_000] * 2
+    rows = [(None if lang == "bb" else i, t, lang) for lang, ts in texts.items() for i, t in enumerate(ts)]
+    df = spark.createDataFrame([(i, t, lang) for i, t, lang in rows], "doc_id long, text string, lang string")
+    for chars in (1, 1_000, 10 ** 9):
+        assert set(langid.train(df, queries.PIECES, sample_chars=chars, rounds=1)) == set(texts)
+
+
 def test_embeddings_across_cells(spark):
     # few dimensions, so that partners straddle two cells along the step between the centroids
     rng = np.random.default_rng(5)
