@@ -1,4 +1,7 @@
-"""Language ID by unigrams over the pieces of a public vocabulary, summed over all segmentations."""
+"""Language ID by unigrams over the pieces of a public vocabulary, summed over all segmentations of a word.
+
+Words of more than 47 bytes are cut into blocks of 48, and segmentations with a piece across two blocks are left out.
+"""
 
 from __future__ import annotations
 
