@@ -23,6 +23,8 @@ LEAST_SCORE = 0.5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a score of ``LEAST_SCORE`` or more; ``und`` goes.
 
+    The score compares the learned languages only and is near 1 for any text of more than a few words: besides ``und``, only
+    short texts near even between languages go, and gibberish or a language not learned is kept.
     The model is fitted on the labelled rows of ``docs`` itself; the label has no say in a row's own fate.
     Without any labelled row there is no model, nothing can be told, and nothing is rejected.
     """
