@@ -227,21 +227,26 @@ def _(t):
 
 
 @check("copy_plan", """
-    with picks as (
-        select lang as kind, source as book, min(case when doc_id % 3 = 0 then '1:' || doc_id || '.pdf' when doc_id % 3 = 1 and doc_id % 7 < 3
-                     then '2:' || doc_id || '.epub' end) as pick
-        from documents where doc_id % 11 > 8 group by all),
+    with files as (
+        select lang as kind, source as book,
+               doc_id || case when doc_id % 3 = 0 then '.pdf' when doc_id % 3 = 1 and doc_id % 7 < 3 then '.epub' else '.txt' end as file
+        from documents),
+    picks as (
+        select kind, book, min(case when file like '%.pdf' then '1:' || file when file like '%.epub' then '2:' || file end) as pick
+        from files group by all),
     named as (select kind, book, substr(pick, 3) as file, kind || '/' || book || '/' || substr(pick, 3) as path, kind || '/' || substr(pick, 3) as target from picks)
     select *, case when target is null then 'unmatched'
-                   when target in (select lang || '/' || doc_id || '.pdf' from documents where doc_id % 5 = 0) then 'target_exists'
+                   when target in (select lang || '/' || doc_id || '.pdf' from documents where doc_id in (select doc_id from labels)) then 'target_exists'
                    when row_number() over (partition by target order by path) = 1 then 'copy' else 'target_claimed' end as action
     from named
 """)
 def _(t):
+    """All documents, a book per source; the labelled ones were copied as PDF."""
     ending = F.expr("case when doc_id % 3 = 0 then '.pdf' when doc_id % 3 = 1 and doc_id % 7 < 3 then '.epub' else '.txt' end")
-    files = t.documents.where("doc_id % 11 > 8").select(F.col("lang").alias("kind"), F.col("source").alias("book"),
-                                                        F.concat(F.col("doc_id").cast("string"), ending).alias("file"))
-    there = t.documents.where("doc_id % 5 = 0").select(F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("target"))
+    files = t.documents.select(F.col("lang").alias("kind"), F.col("source").alias("book"),
+                               F.concat(F.col("doc_id").cast("string"), ending).alias("file"))
+    there = t.documents.join(t.labels.select("doc_id").distinct(), "doc_id", "left_semi") \
+        .select(F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("target"))
     return fl.copy_plan(files, [r".*\.pdf", r".*\.epub"], there)
 
 
