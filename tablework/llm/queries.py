@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tablework.llm import bpe, embedding_dedup, exact, langid, licenses, lines, mixing, ngram_join, packing, tool_calls
+from tablework.llm import (bpe, embedding_dedup, exact, langid, licenses, lines, mixing, negatives, ngram_join, packing, residual_packing,
+                           spelling, tool_calls)
 from tablework.llm.common import UPPER, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -243,3 +244,77 @@ from n
 """)
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(documents(spark, sf_dir))
+
+
+@query("op11_spelling_variants", r"""
+with recursive crc_table as (
+    select list(c order by b) as t from (
+        select b, list_reduce(range(8), lambda acc, k: case when acc & 1 = 1 then xor(acc >> 1, 3988292384) else acc >> 1 end, b) as c
+        from (select unnest(range(256)) as b))),
+runs as (
+    select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[A-Za-zÀ-ÿ]+')) as run from documents),
+counted as (
+    select coalesce(cast(doc_id as varchar), '') || ':' || run as salted, run, count(*) as n
+    from runs where length(run) >= 7 group by all),
+hashed as (
+    select run, n, xor(list_reduce(list_transform(range(len(hex(encode(salted))) // 2), lambda i: cast('0x' || substr(hex(encode(salted)), 2 * i + 1, 2) as bigint)),
+        lambda acc, b: xor(acc >> 8, t[(xor(acc, b) & 255) + 1]), 4294967295), 4294967295) as h
+    from counted, crc_table),
+words as (
+    select word, cast(sum(n) as bigint) as n from (
+        select case when h % 31 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, n from hashed)
+    where length(word) >= 7 group by word having sum(n) >= 2),
+less as (
+    select word, n, unnest(range(length(word))) as i, substr(word, 1, i) as a, substr(word, i + 2) as b from words),
+near as (
+    select x.word, y.word as other, y.n as other_n from less x join less y on y.a = x.a and y.b = x.b and y.word <> x.word
+    union select x.word, y.word, y.n from less x join words y on y.word = x.a || x.b
+    union select y.word, x.word, x.n from less x join words y on y.word = x.a || x.b),
+best as (
+    select word, count(*) as n_near, max(other_n) as best_n, arg_min(other, (-other_n, other)) as best from near group by word),
+forms as (
+    select w.word, w.n, case when b.best_n >= 10 * w.n then b.best end as form, coalesce(b.n_near, 0) as n_near,
+           case when b.best_n >= 10 * w.n then b.best_n end as form_n
+    from words w left join best b on b.word = w.word),
+walk as (
+    select word, word as reached, 0 as steps from forms
+    union all select w.word, f.form, w.steps + 1 from walk w join forms f on f.word = w.reached where f.form is not null)
+select f.word, f.form, r.root, f.n, cast(f.n_near as bigint) as n_near, f.form_n
+from forms f join (select word, arg_max(reached, steps) as root from walk group by word) r on r.word = f.word
+""".replace("\\u00C0-\\u00FF", "À-ÿ"))
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(documents(spark, sf_dir), change=spelling.drop_one_letter)
+    return spelling.usual_forms(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query("op12_hard_negatives", """
+with rows_of as (
+    select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+           list_transform(embedding, lambda x: floor(256 * cast(x as double))) as v
+    from embeddings
+    where vec_id is not null and label is not null and embedding is not null
+      and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scores as (
+    select a.vec_id as anchor_id, r.vec_id, a.label = r.label as same, cast(list_inner_product(a.v, r.v) as bigint) as score
+    from rows_of a join rows_of r on len(r.v) = len(a.v) where a.vec_id % 100 = 0 and r.vec_id <> a.vec_id),
+positives as (
+    select anchor_id, vec_id as positive_id, score as positive_score from scores where same
+    qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select p.anchor_id, p.positive_id,
+       cast(row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id) as int) as rank,
+       s.vec_id as negative_id, p.positive_score, s.score as negative_score
+from positives p join scores s on s.anchor_id = p.anchor_id and not s.same
+     and 80 * p.positive_score <= 100 * s.score and 100 * s.score <= 100 * p.positive_score
+qualify row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.vec_id) <= 5
+""")
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.expr("vec_id % 7 = 0"), F.expr("(label + 1) % 10")).otherwise(F.col("label"))
+    return negatives.hard_negatives(rows.withColumn("label", label), "vec_id % 100 = 0")
+
+
+@query("op13_residual_packing")
+def op13_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residual_packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
