@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 from tablework.llm.bpe import UNSAFE, id_lists, text_of
 from tablework.llm.common import discard, scratch
 
-#: Distinct pieces, and matches in them, whose ids a worker keeps.
+#: Distinct pieces, and matches in them, whose ids a worker keeps; as many older ones stay until these are full.
 CACHE_PIECES = 400_000
 #: Pieces of documents that one partition packs, and partitions or bins' groups that one merge takes.
 PARTITION_PIECES, FAN_IN = 1 << 16, 16
@@ -55,6 +55,7 @@ class PieceEncoder:
         self.tokenizer.encode_special_tokens = True
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.matches: dict[str, bytes] = {}
 
     def learn(self, text: str) -> bytes:
@@ -77,14 +78,14 @@ class PieceEncoder:
     def encode(self, text: str) -> bytes:
         if UNSAFE.search(text):
             return self.learn(text)
+        if len(self.known) >= CACHE_PIECES:
+            self.known, self.older = {}, self.known
         known, pieces = self.known, _pieces(text)
-        if len(known) >= CACHE_PIECES:
-            known.clear()
         try:
             return b"".join(map(known.__getitem__, pieces))
         except KeyError:
             for piece in set(pieces).difference(known):
-                known[piece] = self.learn(piece)
+                known[piece] = self.older.get(piece) or self.learn(piece)
             return b"".join(map(known.__getitem__, pieces))
 
 
