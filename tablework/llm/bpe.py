@@ -16,11 +16,15 @@ from pyspark.sql import functions as F
 
 #: Texts longer than this are encoded in parts.
 PART_CHARS = 1 << 16
-#: Distinct pieces whose ids a worker keeps; beyond, it starts afresh.
-CACHE_PIECES = 200_000
+#: Distinct pieces whose ids a worker keeps; as many older ones stay until these are full.
+CACHE_PIECES = 300_000
+#: Pieces longer than this are not kept.
+LONG_PIECE = 64
 
 #: A blank after white space: only there is a cut before a blank not a boundary of the pattern.
 UNSAFE = re.compile(r"\s ")
+#: White space as the pattern has it, in runs too long for the pattern's look-ahead.
+LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % PART_CHARS)
 
 
 class Encoder:
@@ -31,6 +35,10 @@ class Encoder:
     of a text are those of its pieces, one after the other. The pieces of natural text repeat, so most are
     looked up. Texts where a blank follows white space are encoded whole, or if long in parts that end
     at the last such boundary.
+
+    A run of white space of two or more is one match up to its last character, which goes with what follows, and the whole
+    run at the end of a text. Runs of ``PART_CHARS`` and more are cut out by that rule and their bytes merged without the
+    pattern, so they may be of any length.
     """
 
     def __init__(self, rank_file: str, pattern: str):
@@ -38,8 +46,8 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.tiktoken = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.n_vocab = max(ranks.values()) + 1
-        self.known: dict[str, list[int]] = {}
-        self.known_bytes: dict[str, dict[str, bytes]] = {}
+        self.known: dict[str, dict[str, bytes]] = {}
+        self.older: dict[str, dict[str, bytes]] = {}
 
     def parts(self, text: str) -> Iterator[str]:
         """Consecutive parts of a long text, cut at boundaries of the pattern where there are any."""
@@ -59,39 +67,41 @@ class Encoder:
         yield text[start:]
 
     def encode(self, text: str) -> list[int]:
-        if UNSAFE.search(text):
-            return [i for part in self.parts(text) for i in self.tiktoken.encode_ordinary(part)]
-        known, encode, out = self.known, self.tiktoken.encode_ordinary, []
-        first, *rest = text.split(" ")
-        out.extend(encode(first))
-        for piece in rest:
-            ids = known.get(piece)
-            if ids is None:
-                ids = encode(" " + piece)
-                if len(piece) < 64:
-                    if len(known) >= CACHE_PIECES:
-                        known.clear()
-                    known[piece] = ids
-            out += ids
-        return out
+        return np.frombuffer(self.encode_bytes(text, "<u4"), "<u4").tolist()
 
     def encode_bytes(self, text: str, dtype: str) -> bytes:
         """The ids as little-endian integers, one after the other."""
+        if len(text) < PART_CHARS or not LONG_SPACE.search(text):
+            return self._without_long_space(text, dtype)
+        out, start = [], 0
+        for run in LONG_SPACE.finditer(text):
+            end = run.end() - (run.end() < len(text))
+            out.append(self._without_long_space(text[start:run.start()], dtype))
+            out.append(np.array(self.tiktoken._encode_single_piece(text[run.start():end]), dtype).tobytes())
+            start = end
+        return b"".join([*out, self._without_long_space(text[start:], dtype)])
+
+    def _without_long_space(self, text: str, dtype: str) -> bytes:
+        plain = self.tiktoken.encode_ordinary
         if UNSAFE.search(text):
-            return np.array(self.encode(text), dtype).tobytes()
-        known, encode = self.known_bytes.setdefault(dtype, {}), self.tiktoken.encode_ordinary
+            return b"".join([np.array(plain(part), dtype).tobytes() for part in self.parts(text)])
+        known = self.known.setdefault(dtype, {})
+        if len(known) >= CACHE_PIECES:
+            self.older[dtype] = known
+            known = self.known[dtype] = {}
         first, *rest = text.split(" ")
-        out = [np.array(encode(first), dtype).tobytes()]
-        for piece in rest:
-            ids = known.get(piece)
-            if ids is None:
-                ids = np.array(encode(" " + piece), dtype).tobytes()
-                if len(piece) < 64:
-                    if len(known) >= CACHE_PIECES:
-                        known.clear()
-                    known[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+        head = np.array(plain(first), dtype).tobytes()
+        try:
+            return head + b"".join(map(known.__getitem__, rest))
+        except KeyError:
+            older, new = self.older.get(dtype, {}), set(rest).difference(known)
+            for piece in new:
+                known[piece] = older.get(piece) or np.array(plain(" " + piece), dtype).tobytes()
+            out = head + b"".join(map(known.__getitem__, rest))
+            for piece in new:
+                if len(piece) > LONG_PIECE:
+                    del known[piece]
+            return out
 
     def decode(self, ids: list[int]) -> bytes:
         return self.tiktoken.decode_bytes(ids)
@@ -118,8 +128,8 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text"
     """``docs`` with the column ``out``, the ids of the whole text as array<int>; null text counts as empty.
 
     The rank file is read from a path that exists on every executor. No shuffle, and one batch of rows
-    in memory at a time. Bytes that aren't UTF-8 are read as U+FFFD. Other columns pass through untouched,
-    except one named ``out``, which is replaced.
+    in memory at a time. Bytes that aren't UTF-8 are read as U+FFFD. Runs of white space may be of any length. Other columns
+    pass through untouched, except one named ``out``, which is replaced.
     """
     kept = [c for c in docs.columns if c != out]
     given = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(f"`{text_col}`").cast("binary").alias("text"))

@@ -118,13 +118,18 @@ def _packed(given: DataFrame, ids_of: Callable[[], Callable[[pa.Scalar], np.ndar
         for batch in batches:
             doc_type = batch.schema.field(0).type
             for doc, x in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows.extend(packer.add(doc, decode(x)))
-                if len(rows) >= 512:
-                    yield batch_of(rows)
-                    rows = []
-        rows.extend(packer.flush())
-        for i in range(0, len(rows), 512):
-            yield batch_of(rows[i:i + 512])
+                for row in packer.add(doc, decode(x)):
+                    rows.append(row)
+                    if len(rows) >= 512:
+                        yield batch_of(rows)
+                        rows = []
+        for row in packer.flush():
+            rows.append(row)
+            if len(rows) >= 512:
+                yield batch_of(rows)
+                rows = []
+        if rows:
+            yield batch_of(rows)
 
     return given.mapInArrow(run, schema)
 

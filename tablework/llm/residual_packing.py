@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tablework.llm.bpe import UNSAFE, id_lists, text_of
+from tablework.llm.bpe import LONG_PIECE, UNSAFE, id_lists, text_of
 from tablework.llm.common import discard, scratch
 
 #: Distinct pieces, and matches in them, whose ids a worker keeps; as many older ones stay until these are full.
@@ -84,9 +84,14 @@ class PieceEncoder:
         try:
             return b"".join(map(known.__getitem__, pieces))
         except KeyError:
-            for piece in set(pieces).difference(known):
+            new = set(pieces).difference(known)
+            for piece in new:
                 known[piece] = self.older.get(piece) or self.learn(piece)
-            return b"".join(map(known.__getitem__, pieces))
+            out = b"".join(map(known.__getitem__, pieces))
+            for piece in new:
+                if len(piece) > LONG_PIECE:
+                    del known[piece]
+            return out
 
 
 def _pieces(text: str) -> list[str]:

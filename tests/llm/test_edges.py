@@ -407,3 +407,26 @@ def test_shared_path_is_not_local_on_a_cluster():
 
     with pytest.raises(ValueError):
         shared_path(Session(), "x")
+
+
+@pytest.mark.parametrize("space", [" ", "\n", "\t", " \n\t ", "\u3000"])
+def test_white_space_of_any_length(space):
+    """Up to where the library itself can go the ids are its own; beyond, they are those of the same matches joined."""
+    enc = bpe.encoder(queries.RANKS, public_tokenizers.PATTERN)
+    run = (space * 200_000)[:200_000]
+    for text in (run, "ab" + run, run + "ab", run + " ab", "x y" + run + "cd e" + run, run + "\x1c" + run + "é "):
+        assert enc.encode(text) == enc.tiktoken.encode_ordinary(text)
+    run = (space * 2_000_000)[:2_000_000]
+    alone = enc.tiktoken._encode_single_piece
+    for text, want in ((run, [run]), ("ab" + run, ["ab", run]), (run + "cd", [run[:-1], run[-1] + "cd"]), ("ab" + run + "cd", ["ab", run[:-1], run[-1] + "cd"])):
+        ids = [i for piece in want for i in (alone(piece) if len(piece) > 99 else enc.tiktoken.encode_ordinary(piece))]
+        assert enc.encode(text) == ids and enc.decode(ids) == text.encode()
+
+
+def test_white_space_of_any_length_in_queries(spark):
+    docs = docs_of(spark, [(1, "ab" + " " * 1_000_000 + "cd", None, None), (2, "\n" * 1_000_000, None, None), (3, "a b", None, None)])
+    rows = {r["doc_id"]: r for r in bpe.round_trip(docs, queries.RANKS, public_tokenizers.PATTERN).collect()}
+    for doc, text in ((1, "ab" + " " * 1_000_000 + "cd"), (2, "\n" * 1_000_000), (3, "a b")):
+        assert rows[doc]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+    packed = packing.pack_texts(docs, queries.RANKS, public_tokenizers.PATTERN).collect()
+    assert sum(r["n_tokens"] for r in packed) == sum(r["n_tokens"] + 1 for r in rows.values())
