@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tablework.functions.jsons import json_map
 from tablework.registry import Tables, check
 from tablework.session import shared_path
-from tablework.sources import catalog, files, sinks
+from tablework.sources import buckets, catalog, files, sinks
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -73,7 +73,7 @@ def _(t):
                                  for name in TABLES})
 
 
-@check("upsert_by_key", """
+UPSERTED = """
     with updates as (select * from (
         select l_partkey, l_shipdate, l_quantity, l_extendedprice, row_number() over (
             partition by l_partkey order by l_orderkey desc, l_linenumber desc, l_shipdate desc,
@@ -84,15 +84,33 @@ def _(t):
     where p_partkey is not null
     union all select l_partkey, l_quantity, l_extendedprice from updates
     where l_partkey not in (select p_partkey from part)
-""")
+"""
+
+
+def part_rows(t: Tables):
+    return t.part.select(F.col("p_partkey").alias("key"), F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"))
+
+
+def part_updates(t: Tables):
+    """The lines as updates of the parts, in the order of ``at``."""
+    return t.lineitem.select(F.col("l_partkey").alias("key"), F.col("l_quantity").alias("size"), F.col("l_extendedprice").alias("price"),
+                             F.struct("l_orderkey", "l_linenumber", "l_shipdate", "l_quantity", "l_extendedprice").alias("at"))
+
+
+@check("upsert_by_key", UPSERTED)
+def _(t):
+    return sinks.upsert_by_key(part_rows(t), part_updates(t), "key", "at")
+
+
+@check("upsert_bucketed", UPSERTED)
 def _(t):
-    target = t.part.select(F.col("p_partkey").alias("key"), F.col("p_size").cast("double").alias("size"),
-                           F.col("p_retailprice").alias("price"))
-    updates = t.lineitem.select(F.col("l_partkey").alias("key"), F.col("l_quantity").alias("size"),
-                                F.col("l_extendedprice").alias("price"),
-                                F.struct(
-                                    "l_orderkey", "l_linenumber", "l_shipdate", "l_quantity", "l_extendedprice").alias("at"))
-    return sinks.upsert_by_key(target, updates, "key", "at")
+    """The same in a bucketed table, in two upserts: the lines of the lower half of the orders, then the others."""
+    table = buckets.BucketedTable.create(part_rows(t), shared_path(t.spark, "bucketed"), "key", buckets=16)
+    updates = part_updates(t)
+    middle = t.lineitem.agg(F.avg("l_orderkey")).first()[0]
+    for half in (F.col("at.l_orderkey") <= middle, F.col("at.l_orderkey") > middle):
+        table.upsert(updates.where(half), "at")
+    return table.read()
 
 
 @check("collect_list_by_key", """

@@ -205,6 +205,15 @@ def _(t):
     return t.spark.read.parquet(data).select("id", "topic", text("payload"))
 
 
+@check("stream_once_by_ranges", "select event_id as id, event_type as topic, props as payload from events")
+def _(t):
+    """Every message twice, the repeats in batches of their own; the ids seen are kept as intervals."""
+    data, checkpoint = places(t, "once-by-ranges")
+    twice = messages(t).unionByName(messages(t))
+    ms.consume(ms.deliver(twice, qos=2, compact=True), data, checkpoint).awaitTermination()
+    return t.spark.read.parquet(data).select("id", "topic", text("payload"))
+
+
 @check("stream_collect", """
     select event_type as key, row_number() over (partition by event_type order by event_id desc) as position, props as value
     from events

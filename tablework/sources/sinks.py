@@ -2,15 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tablework.plans.skew import lookup_join, ranked
+from tablework.sources.shards import shard_numbers
 
 
 def latest_by_key(rows: DataFrame, key: str, order: str, keep: str = "last") -> DataFrame:
@@ -87,86 +83,6 @@ def send(messages: DataFrame, fmt: str = "parquet", **options: str) -> None:
     messages.write.format(fmt).options(**options).mode("append").save()
 
 
-#: Blocks numbered by one task at a time.
-CHUNK_BLOCKS = 10_000
-
-
-def _resets(sizes: np.ndarray, max_count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For a shard that starts at block i of a chunk: rows in the shard that is open
-    at the end of the chunk, and shards started from i on. Also the prefix sums."""
-    total = np.cumsum(sizes)
-    before = total - sizes
-    n = len(sizes)
-    following = np.maximum(np.searchsorted(total, before + max_count, side="right"), np.arange(n) + 1)
-    open_rows = total[-1] - before
-    started = np.ones(n, dtype=np.int64)
-    for i in range(n - 1, -1, -1):
-        if following[i] < n:
-            open_rows[i] = open_rows[following[i]]
-            started[i] += started[following[i]]
-    return open_rows, started, total
-
-
-def shard_numbers(blocks: DataFrame, order: str, size: str, max_count: int,
-                  chunk_blocks: int = CHUNK_BLOCKS) -> DataFrame:
-    """Add ``shard``: blocks in order are packed into shards of at most ``max_count``.
-
-    A block is never split: when it does not fit, the next shard begins with
-    it (so a first block above the limit stands in shard 2). Blocks of equal ``order`` go by their other columns.
-
-    The packing is sequential, but a chunk of blocks depends on what went
-    before only through the rows already in the open shard. Each chunk
-    therefore reports, in parallel, what it does for every possible entry
-    value (at most ``min(chunk_blocks, max_count + 1)`` cases); the driver
-    follows one entry through the chunks; a second pass numbers the blocks.
-    """
-    columns = list(blocks.columns)
-    count = blocks.count()
-    numbered = ranked(blocks, [], [order, *[c for c in columns if c not in (order, size)]], "_no").withColumn(
-        "_chunk", F.floor((F.col("_no") - 1) / chunk_blocks))
-
-    def report(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_no")
-        open_rows, started, total = _resets(pdf[size].to_numpy(np.int64), max_count)
-        # The first reset falls on block j when the entry value is above limit[j].
-        limit = max_count - total
-        reach = int(np.searchsorted(-limit, 0, side="right")) + 1
-        cut = slice(0, reach)
-        return pd.DataFrame({"_chunk": [pdf["_chunk"].iloc[0]], "limits": [limit[cut]],
-                             "open_rows": [open_rows[cut]], "started": [started[cut]],
-                             "total": [total[-1]]})
-
-    entries = [(0, 0, 1)]
-    if count > chunk_blocks:
-        thin = numbered.select("_chunk", "_no", F.col(size).cast("bigint").alias(size))
-        reports = thin.groupBy("_chunk").applyInPandas(
-            report, "_chunk bigint, limits array<bigint>, open_rows array<bigint>, "
-                    "started array<bigint>, total bigint")
-        held, shard = 0, 1
-        for row in reports.orderBy("_chunk").toLocalIterator():
-            first = int(np.searchsorted(-np.asarray(row["limits"]), -held, side="right"))
-            if first < len(row["limits"]):
-                held, shard = row["open_rows"][first], shard + row["started"][first]
-            else:
-                held += row["total"]
-            entries.append((row["_chunk"] + 1, held, shard))
-    known = blocks.sparkSession.createDataFrame(entries, "_chunk bigint, _held bigint, _shard bigint")
-
-    def number(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_no")
-        held, shard = int(pdf["_held"].iloc[0]), int(pdf["_shard"].iloc[0])
-        shards = np.empty(len(pdf), dtype=np.int64)
-        for i, n in enumerate(pdf[size].tolist()):
-            held += n
-            if held > max_count:
-                held, shard = n, shard + 1
-            shards[i] = shard
-        return pdf[columns].assign(shard=shards)
-
-    out = T.StructType([*blocks.schema.fields, T.StructField("shard", T.LongType())])
-    return numbered.join(known, "_chunk").groupBy("_chunk").applyInPandas(number, out)
-
-
 def sharded_text(df: DataFrame, block: str, block_order: str, ord: str, text: str,
                  max_count: int, path: str) -> DataFrame:
     """Write statement text into shards and return the shard of each block.

@@ -8,6 +8,7 @@ writers take the format and options of any installed connector.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -17,6 +18,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tablework.functions.text import payload_text
 from tablework.sources.sinks import collect_by_key
+from tablework.streaming.levels import LevelledTable
+from tablework.streaming.seen import deliver_once
 
 
 def subscribe(stream: DataFrame, topic: str) -> DataFrame:
@@ -86,73 +89,42 @@ def retained(stream: DataFrame, ts: str = "ts", id: str = "id") -> DataFrame:
 
 
 def deliver(stream: DataFrame, qos: int, id: str = "id", ts: str = "ts",
-            watermark: str | None = None) -> DataFrame:
+            watermark: str | None = None, compact: bool = False) -> DataFrame:
     """Delivery level: 2 passes each message id once; 0 and 1 pass everything (1 is kept by the sink's checkpoint).
 
     Nothing is lost, however late or out of order it comes: the ids seen are kept as state, which the
     RocksDB store holds on disk. Where that state may not grow without end, a ``watermark`` bounds it, and only
-    then are messages that come later than it dropped: the caller's choice, never the default.
+    then are messages that come later than it dropped: the caller's choice, never the default. Ids that are whole
+    numbers take far less with ``compact`` (:func:`deliver_once`), which drops nothing either.
     """
     if qos not in (0, 1, 2):
         raise ValueError("qos is 0, 1 or 2")
     if qos < 2:
         return stream
+    if compact:
+        if watermark is not None:
+            raise ValueError("compact keeps all ids and takes no watermark")
+        return deliver_once(stream, id)
     if watermark is None:
         return stream.dropDuplicates([id])
     return stream.withWatermark(ts, watermark).dropDuplicatesWithinWatermark([id])
 
 
 def keep_latest(result: DataFrame, path: str, checkpoint: str, continuous: bool = False, keys: tuple[str, ...] = ("topic",),
-                fmt: str = "parquet", **options: str) -> StreamingQuery:
-    """Fold what each batch changed into a keyed table; folder ``state=n`` holds the table after the n-th write.
+                fmt: str = "parquet", fanout: int = 4, **options: str) -> StreamingQuery:
+    """Fold what each batch changed into a keyed table, read by :func:`latest_state`.
 
-    ``result`` is an aggregate by ``keys``, run in update mode, so a batch has the changed keys only. The two
-    newest states are kept: the newest, and the one before it for readers that are still at it. A batch that
-    is run again gives the same table, because its rows replace those of their keys.
+    ``result`` is an aggregate by ``keys``, run in update mode, so a batch has the changed keys only. They are written as a
+    sorted delta and merged with others in levels (:class:`LevelledTable`), so a batch costs what it changes, not what the
+    table holds. A batch that is run again is known by its checkpoint and number.
     """
-    spark = result.sparkSession
-
-    def save(batch: DataFrame, folder: str) -> None:
-        states = _states(spark, path)
-        new = batch
-        if states:
-            old = spark.read.format(fmt).options(**options).load(f"{path}/state={states[-1]}")
-            new = old.join(batch.select(*keys), list(keys), "left_anti").select(*batch.columns).unionByName(batch)
-        number = states[-1] + 1 if states else 0
-        new.write.format(fmt).options(**options).mode("overwrite").save(f"{path}/state={number}.part")
-        _rename(spark, f"{path}/state={number}.part", f"{path}/state={number}")
-        for n in states[:-1]:
-            _delete(spark, f"{path}/state={n}")
-
-    return _each_batch(result, checkpoint, save, continuous, "update")
-
-
-def _folder(spark, path: str):
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-
-def _states(spark, path: str) -> list[int]:
-    """Numbers of the finished states below the path, ascending."""
-    at, fs = _folder(spark, path)
-    names = [f.getPath().getName() for f in fs.listStatus(at)] if fs.exists(at) else []
-    return sorted(int(n.removeprefix("state=")) for n in names if n.removeprefix("state=").isdigit())
-
-
-def _rename(spark, old: str, new: str) -> None:
-    at, fs = _folder(spark, old)
-    if not fs.rename(at, _folder(spark, new)[0]):
-        raise OSError(f"{old} can't be renamed")
-
-
-def _delete(spark, path: str) -> None:
-    at, fs = _folder(spark, path)
-    fs.delete(at, True)
+    table = LevelledTable(result.sparkSession, path, keys, fanout, fmt, options)
+    return _each_batch(result, checkpoint, lambda batch, folder: table.add(batch, re.sub(r"\W", "_", folder)), continuous, "update")
 
 
-def latest_state(spark, path: str, fmt: str = "parquet", **options: str) -> DataFrame:
-    """The newest state that :func:`keep_latest` wrote."""
-    return spark.read.format(fmt).options(**options).load(f"{path}/state={_states(spark, path)[-1]}")
+def latest_state(spark, path: str, fmt: str = "parquet", keys: tuple[str, ...] = ("topic",), **options: str) -> DataFrame:
+    """The table that :func:`keep_latest` keeps, as it stands: the newest row of each key."""
+    return LevelledTable(spark, path, keys, fmt=fmt, options=options).read()
 
 
 def push(stream: DataFrame, key: str, value: str, order: str, path: str, checkpoint: str,

@@ -3,11 +3,13 @@
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tablework.plans import migrate as m
-from tablework.sources import catalog, files, jdbc, sinks
+from tablework.sources import buckets, catalog, files, jdbc, shards, sinks
+from tablework.streaming import levels, seen
 from tablework.streaming import messages as ms
 
 
@@ -126,6 +128,42 @@ def test_shards_by_chunks(spark, seed, limit, chunk):
     assert [r.shard for r in got] == packed_in_turn(sizes, limit)
 
 
+@pytest.mark.parametrize("fan_in", [2, 3])
+def test_shards_by_a_tree_of_chunks(spark, fan_in):
+    """Sixty chunks in several levels of reports; the driver gets one number."""
+    rng = random.Random(9)
+    for limit in (7, 100):
+        sizes = [rng.choice([0, 1, 2, 5, 9, 30]) for _ in range(180)]
+        blocks = spark.createDataFrame(list(enumerate(sizes)), "b bigint, n bigint")
+        got = sinks.shard_numbers(blocks, "b", "n", limit, 3, fan_in=fan_in).orderBy("b").collect()
+        assert [r.shard for r in got] == packed_in_turn(sizes, limit)
+
+
+def test_shards_of_nothing(spark):
+    blocks = spark.createDataFrame([], "b bigint, n bigint")
+    assert sinks.shard_numbers(blocks, "b", "n", 10).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_composed_reports(seed):
+    """A report of two chunks does what one chunk after the other does, for every entry, also above the limit."""
+    rng = random.Random(seed)
+    limit = rng.choice([1, 5, 20, 200])
+    parts = [[rng.choice([0, 1, 3, 8, 25]) for _ in range(rng.randint(1, 9))] for _ in range(rng.randint(1, 4))]
+    steps = [shards.report(np.array(p), limit) for p in parts]
+    whole = steps[0]
+    for step in steps[1:]:
+        whole = shards.then(whole, step)
+    for held in range(limit + 30):
+        want, shard = held, 0
+        for n in [n for p in parts for n in p]:
+            want += n
+            if want > limit:
+                want, shard = n, shard + 1
+        assert shards.apply(whole, held, 0) == (want, shard)
+    assert list(whole.starts) == sorted(set(whole.starts)) and len(whole.starts) <= limit + 1
+
+
 def test_sharded_text(spark, tmp_path):
     rows = [(f"t{b}", b, i, f"s{b}.{i}") for b in range(6) for i in range(b + 1)]
     df = spark.createDataFrame(rows, "t string, b int, i int, s string")
@@ -284,6 +322,38 @@ def test_late_messages_are_delivered(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 3, 4]
 
 
+def test_seen_ranges():
+    """States hold what they were made from, in the smaller form."""
+    rng = np.random.default_rng(4)
+    size = 1 << seen.RANGE_BITS
+    for share, form in ((0, "intervals"), (0.001, "intervals"), (0.3, "bitmap"), (0.9999, "intervals"), (1, "intervals")):
+        members = rng.random(size) < share
+        state = seen._state(members)
+        assert (seen._members(state) == members).all()
+        assert (len(state) == size // 8) == (form == "bitmap") and len(state) <= size // 8
+    assert len(seen._state(np.ones(size, bool))) == 4
+
+
+def test_compact_delivery(spark, tmp_path):
+    """Shuffled repeats over many batches, late ones too; the state is a row for each range of ids."""
+    box, out, mark = tmp_path / "box", str(tmp_path / "out"), str(tmp_path / "mark")
+    rng = random.Random(2)
+    ids = [*range(20_000), *range(20_000), *[-5, -5, (1 << 63) - 1, -(1 << 63), (1 << 63) - 1]]
+    rng.shuffle(ids)
+    for i in range(0, len(ids), 10_000):
+        feed(spark, box, [("a", str(n), True, 1_000 - i // 100, n) for n in ids[i:i + 10_000]])
+    query = ms.consume(ms.deliver(stream(spark, box), 2, compact=True), out, mark)
+    query.awaitTermination()
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == sorted(set(ids))
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 64 + 3
+    feed(spark, box, [("b", "late", True, 1, 17), ("b", "new", True, 1, 20_000), ("b", "none", True, 1, None), ("b", "none", True, 1, None)])
+    query = ms.consume(ms.deliver(stream(spark, box), 2, compact=True), out, mark)
+    query.awaitTermination()
+    assert sorted(bytes(r.payload).decode() for r in spark.read.parquet(out).where("topic = 'b'").collect()) == ["new", "none", "none"]
+    with pytest.raises(ValueError):
+        ms.deliver(stream(spark, box), 2, id="topic", compact=True)
+
+
 def test_malformed_payload_does_not_stop_a_stream(spark, tmp_path):
     box, out, mark = tmp_path / "box", str(tmp_path / "out"), str(tmp_path / "mark")
     rows = spark.sql("select 'a' as topic, x'61ff62' as payload, true as retain, timestamp_seconds(5) as ts, 1L as id")
@@ -301,14 +371,85 @@ def test_new_checkpoint_keeps_what_an_old_one_wrote(spark, tmp_path):
     assert spark.read.json(out).count() == 2 * len(FIRST)
 
 
-def test_state_folders_do_not_pile_up(spark, tmp_path):
-    box, out, mark = tmp_path / "box", str(tmp_path / "kept"), str(tmp_path / "mark")
-    for i in range(4):
-        feed(spark, box, [("a", f"v{i}", True, 10 * i, i), (f"t{i}", "w", True, 5, 100 + i)])
-        ms.keep_latest(ms.retained(stream(spark, box)), out, mark).awaitTermination()
-    assert len([p for p in (tmp_path / "kept").iterdir() if p.name.startswith("state=")]) == 2
-    assert {r.topic: bytes(r.payload).decode() for r in ms.latest_state(spark, out).collect()} == {
-        "a": "v3", **{f"t{i}": "w" for i in range(4)}}
+def test_retained_over_many_batches(spark, tmp_path, monkeypatch):
+    """What is written grows with what changes, not with what the table holds; few folders are left."""
+    box, out, mark, written = tmp_path / "box", str(tmp_path / "kept"), str(tmp_path / "mark"), []
+    write = levels.LevelledTable._write
+
+    def counted(table, rows, run):
+        write(table, rows, run)
+        written.append((run.level, table._rows(run).count()))
+
+    monkeypatch.setattr(levels.LevelledTable, "_write", counted)
+    feed(spark, box, [(f"t{i}", "first", True, 1, i) for i in range(500)])
+    for i in range(20):
+        feed(spark, box, [("a", f"v{i}", True, 10 + i, 1000 + i), (f"t{i}", "w", True, 5, 2000 + i), ("b", "old", True, 400 - i, 3000 + i)])
+    ms.keep_latest(ms.retained(stream(spark, box)), out, mark).awaitTermination()
+    got = {r.topic: bytes(r.payload).decode() for r in ms.latest_state(spark, out).collect()}
+    assert len(got) == 502 and got["a"] == "v19" and got["b"] == "old" and [got[f"t{i}"] for i in (0, 19, 20)] == ["w", "w", "first"]
+    deltas = sum(n for level, n in written if level == 0)
+    assert len([1 for level, _ in written if level == 0]) == 21 and sum(n for _, n in written) <= 4 * deltas < 21 * 500
+    assert max(level for level, _ in written) == 2 and len(list((tmp_path / "kept").iterdir())) <= 12
+    table = levels.LevelledTable(spark, out, ("topic",))
+    last, before = table.runs()[-1], len(written)
+    table.add(spark.createDataFrame([("a", b"again", None, 0)], table.read().schema), last.tag)  # a batch that is run again
+    assert len(written) == before and table.read().count() == 502
+
+
+def test_merged_runs_stand_for_their_parts(spark, tmp_path):
+    table = levels.LevelledTable(spark, str(tmp_path / "t"), ("k",), fanout=2)
+    for i in range(7):
+        table.add(spark.createDataFrame([(1, i), (10 + i, i)], "k int, v int"), f"b{i}")
+        assert {r.k: r.v for r in table.read().collect()} == {1: i, **{10 + j: j for j in range(i + 1)}}
+    assert [(r.first, r.last, r.level) for r in table.runs()] == [(0, 3, 2), (4, 5, 1), (6, 6, 0)]
+    (tmp_path / "t" / "run=7-7-0-b7.part").mkdir()  # left by a writer that failed
+    assert table.read().count() == 8
+    table.add(spark.createDataFrame([(1, 99)], "k int, v int"), "b7")
+    assert table.read().where("k = 1").first().v == 99 and table.runs()[0].level == 3
+
+
+def test_bucketed_upserts_rewrite_what_they_touch(spark, tmp_path):
+    path = str(tmp_path / "table")
+    rows = spark.range(1000).select(F.col("id").alias("k"), F.lit("old").alias("v"), F.lit(None).cast("int").alias("a.b"))
+    table = buckets.BucketedTable.create(rows.unionByName(spark.createDataFrame([(None, "n", 1), (None, "n", 1)], "k long, v string, `a.b` int")), path, "k", buckets=32)
+
+    def files():
+        return {str(f.relative_to(path)) for f in (tmp_path / "table" / "data").rglob("*.parquet")}
+
+    before = files()
+    updates = spark.createDataFrame([(1, 5, "x", "new"), (2, 5, "x", "new"), (1, 9, "x", "newer"), (2000, 1, "x", "added"), (None, 1, "x", "n")],
+                                    "k int, at int, extra string, v string").withColumn("a.b", F.lit("7"))
+    assert table.upsert(updates, "at") == len({b for b in _buckets(spark, [1, 2, 2000], 32)}) + 1
+    assert before <= files()
+    got = {r.k: (r.v, r["a.b"]) for r in table.read().where("k is not null").collect()}
+    assert len(got) == 1001 and got[1] == ("newer", 7) and got[2] == ("new", 7) and got[2000] == ("added", 7) and got[3] == ("old", None)
+    assert table.read().where("k is null").count() == 3
+    valid = {f"data/version={v}/_b={b}/" for b, v, _ in table.manifest()}
+    untouched = {f for f in before if any(f.startswith(v) for v in valid)}
+    assert len(untouched) >= len(before) - 8 and sum(n for *_, n in table.manifest()) == 1004
+    assert {tuple(r) for r in table.lookup(spark.createDataFrame([(1,), (5,), (None,), (-7,)], "k long")).select("k", "v").collect()} == {(1, "newer"), (5, "old")}
+    assert table.upsert(updates.where("false"), "at") == 0 and table.version() == 1
+    table.upsert(updates.where("k = 1").withColumn("v", F.lit("last")), "at")
+    assert table.vacuum(keep=1) > 0 and table.read().where("k = 1").first().v == "last" and table.read().count() == 1004
+    with pytest.raises(FileExistsError):
+        buckets.BucketedTable.create(rows, path, "k")
+
+
+def _buckets(spark, keys, n):
+    return [r[0] for r in spark.createDataFrame([(k,) for k in keys], "k long").select(F.pmod(F.xxhash64("k"), F.lit(n))).collect()]
+
+
+def test_bucketed_upsert_that_fails_changes_nothing(spark, tmp_path, monkeypatch):
+    table = buckets.BucketedTable.create(spark.range(10).withColumn("v", F.lit(1)), str(tmp_path / "t"), "id", buckets=4)
+    updates = spark.range(5).withColumn("v", F.lit(2))
+    monkeypatch.setattr(buckets.BucketedTable, "_publish", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        table.upsert(updates, "v")
+    monkeypatch.undo()
+    assert table.read().agg(F.sum("v")).first()[0] == 10
+    assert table.upsert(updates, "v") and table.read().agg(F.sum("v")).first()[0] == 15
+    empty = buckets.BucketedTable.create(spark.range(0).withColumn("v", F.lit(1)), str(tmp_path / "e"), "id")
+    assert empty.read().count() == 0 and empty.upsert(updates, "v") and empty.read().count() == 5
 
 
 def test_migrate_never_overwrites_on_create(spark, tmp_path):
