@@ -221,5 +221,5 @@ def _(t):
 def _(t):
     data, checkpoint = places(t, "collect")
     lines = messages(t).withColumn("payload", F.decode("payload", "UTF-8"))
-    ms.push(lines, "topic", "payload", "id", data, checkpoint).awaitTermination()
-    return ms.pushed(t.spark, data, "list")
+    ms.push_list(lines, "topic", "payload", "id", data, checkpoint).awaitTermination()
+    return ms.pushed_list(t.spark, data)

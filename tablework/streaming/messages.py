@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tablework.functions.text import payload_text
 from tablework.sources.sinks import collect_by_key
+from tablework.streaming.collected import SegmentedList
 from tablework.streaming.levels import LevelledTable
 from tablework.streaming.seen import deliver_once
 
@@ -140,3 +141,22 @@ def push(stream: DataFrame, key: str, value: str, order: str, path: str, checkpo
 def pushed(spark, path: str, kind: str = "list", fmt: str = "parquet", **options: str) -> DataFrame:
     """The keyed collections as they stand after the batches written so far."""
     return collect_by_key(spark.read.format(fmt).options(**options).load(path), "key", "value", kind, "ord")
+
+
+def push_list(stream: DataFrame, key: str, value: str, order: str, path: str, checkpoint: str, continuous: bool = False,
+              limit: int = 4096) -> StreamingQuery:
+    """Put a stream of lines into keyed lists whose positions are kept up to date (read by :func:`pushed_list`).
+
+    ``order`` is a column of whole numbers; the largest stands first.
+    """
+    lists = SegmentedList(stream.sparkSession, path, limit)
+
+    def save(batch: DataFrame, folder: str) -> None:
+        lists.add(batch.select(F.col(key).alias("key"), F.col(value).alias("value"), F.col(order).alias("ord")), re.sub(r"\W", "_", folder))
+
+    return _each_batch(stream, checkpoint, save, continuous)
+
+
+def pushed_list(spark, path: str) -> DataFrame:
+    """The keyed lists as they stand after the batches written so far: (key, position, value)."""
+    return SegmentedList(spark, path).read()

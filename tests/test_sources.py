@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tablework.plans import migrate as m
 from tablework.sources import buckets, catalog, files, jdbc, shards, sinks
-from tablework.streaming import levels, seen
+from tablework.streaming import collected, levels, seen
 from tablework.streaming import messages as ms
 
 
@@ -354,6 +354,36 @@ def test_compact_delivery(spark, tmp_path):
         ms.deliver(stream(spark, box), 2, id="topic", compact=True)
 
 
+def test_lists_keep_their_positions(spark, tmp_path, monkeypatch):
+    """Equal to ranking everything after each batch: orders that come out of turn, ties, null and heavy keys, splits and rewrites."""
+    monkeypatch.setattr(collected, "VERSIONS", 2)
+    rng, lists, rows = random.Random(6), collected.SegmentedList(spark, str(tmp_path / "l"), limit=20), []
+    for i in range(5):
+        new = [(rng.choice(["hot", "hot", "hot", "b", None]), f"v{rng.randrange(9)}{i}", rng.choice([rng.randrange(-50, 400), rng.randrange(1 << 40), 7]))
+               for _ in range(60 if i < 4 else 1)]
+        batch = spark.createDataFrame(new, "key string, value string, ord long")
+        lists.add(batch, f"b{i}")
+        lists.add(batch, f"b{i}")  # run again
+        rows += new
+        want = set()
+        for key in ("hot", "b", None):
+            mine = sorted(((o, v) for k, v, o in rows if k == key), reverse=True)
+            want |= {(key, n, v) for n, (_, v) in enumerate(mine, 1)}
+        assert {tuple(r) for r in lists.read().collect()} == want and lists.read().count() == len(rows)
+    sizes = lists.segments.read().where("n > 0").collect()
+    assert len({r.version for r in sizes}) <= 3 and len(list((tmp_path / "l" / "data").iterdir())) <= 8
+    assert max(r.n for r in sizes if r.level < collected.LEVELS) <= 20 and not (tmp_path / "l" / "staged").exists()
+
+
+def test_a_batch_rewrites_the_touched_segments(spark, tmp_path):
+    lists = collected.SegmentedList(spark, str(tmp_path / "l"), limit=64)
+    lists.add(spark.range(4000).select(F.lit("k").alias("key"), F.col("id").cast("string").alias("value"), F.col("id").alias("ord")), "b0")
+    lists.add(spark.createDataFrame([("k", "x", 70), ("k", "y", 9999)], "key string, value string, ord long"), "b1")
+    written = lists.segments.read().where("n > 0 and version = 1").agg(F.sum("n"), F.count("*")).first()
+    assert written[0] <= 66 and written[1] <= 2
+    assert lists.read().where("value in ('x', 'y', '0')").orderBy("position").select("position", "value").collect() == [(1, "y"), (3931, "x"), (4002, "0")]
+
+
 def test_malformed_payload_does_not_stop_a_stream(spark, tmp_path):
     box, out, mark = tmp_path / "box", str(tmp_path / "out"), str(tmp_path / "mark")
     rows = spark.sql("select 'a' as topic, x'61ff62' as payload, true as retain, timestamp_seconds(5) as ts, 1L as id")
