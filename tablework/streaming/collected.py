@@ -128,7 +128,7 @@ class SegmentedList:
         if sum(stored[v] for v in living) > 2 * sum(living.values()) and len(living) > 1:
             chosen = list(living)
         elif len(living) > VERSIONS:
-            chosen = sorted(living, key=living.get)[:VERSIONS // 2]
+            chosen = sorted(living, key=living.get)[:VERSIONS // 2 + 1]
         else:
             return
         version = self.segments.runs()[-1].last + 1
