@@ -95,10 +95,10 @@ class LineRuns:
 
 
 def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int = 10, batches: int = 4) -> DataFrame:
-    """(id, h1, h2) of the lines that an earlier document has: all holders of a key but the smallest id.
+    """(id, text_hash, place) of the lines that an earlier document has: all holders of a key but the smallest id.
 
-    Documents go in ``batches`` of ascending id through the runs; where the bounds between batches lie
-    does not change the result.
+    ``place`` counts a text's lines from 0; ``text_hash`` tells texts of one id apart. Documents go in ``batches`` of ascending
+    id through the runs; where the bounds between batches lie does not change the result. Ids are numbers.
     """
     spark = docs.sparkSession
     rows = clear_names(docs, id_col, text_col).toDF("id", "text")
@@ -107,17 +107,22 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int =
     batch = F.lit(len(bounds))
     for i, bound in reversed(list(enumerate(bounds))):
         batch = F.when(F.col("id") <= F.lit(bound), F.lit(i)).otherwise(batch)
-    line = F.explode_outer(split_lines(ascii_lower(F.col("text"))))
+    line = F.posexplode_outer(split_lines(ascii_lower(F.col("text"))))
     entries = scratch(
-        rows.select("id", line.alias("_line"))
+        rows.withColumn("text_hash", text_hash(F.col("text")))  # once a text, below the explode
+        .select("id", "text_hash", line.alias("place", "_line"))
         .where(F.char_length(F.btrim("_line", F.lit(BLANKS))) >= min_chars)
-        .select("id", line_hash(F.col("_line")).alias("_h"), batch.alias("_batch"))
-        .select("id", "_h.h1", "_h.h2", "_batch"), "line-entries", "_batch")
+        .select("id", "text_hash", "place", line_hash(F.col("_line")).alias("_h"), batch.alias("_batch"))
+        .select("id", "text_hash", "place", "_h.h1", "_h.h2", "_batch"), "line-entries", "_batch")
     runs = LineRuns(spark)
     for i in range(len(bounds) + 1):
         runs.add(entries.where(F.col("_batch") == i))
     return entries.join(runs.release(), ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("first_id"))) \
-        .select("id", "h1", "h2")
+        .select("id", "text_hash", "place")
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10,
@@ -128,8 +133,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``min_chars`` code points that several documents have lose all their lines but those of the smallest id;
     lines repeated inside that document stay. Null and empty texts have one empty line. Rows of equal id
     are one document; null ids come after all others and are one document too. A text whose lines
-    all go becomes the empty text. Other columns pass through (``_lines`` is replaced). Keys are compared
-    by 128 hash bits.
+    all go becomes the empty text. Ids are numbers. Other columns pass through (``_lines`` is replaced). Keys are compared
+    by 128 hash bits. The time goes with a text's lines, however many there are and go.
     """
     docs = docs.drop("_lines")
     cut = kept_lines(docs, id_col, text_col, min_chars, batches)
@@ -138,19 +143,20 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def kept_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, batches: int) -> DataFrame:
     """(row, n_lines, n_dropped, kept), ``row`` being the input row."""
-    drops = dropped_lines(docs, id_col, text_col, min_chars, batches).groupBy(F.col("id").alias("drop_id")) \
-        .agg(F.collect_set(F.struct("h1", "h2")).alias("drops"))
+    drops = dropped_lines(docs, id_col, text_col, min_chars, batches).groupBy(F.col("id").alias("drop_id"), "text_hash") \
+        .agg(F.array_sort(F.collect_set("place")).alias("_places"))
+    # one byte a line up to the last dropped one, so that each line finds its own at once
+    before = F.concat(F.array(F.lit(-1)), F.slice("_places", 1, F.size("_places") - 1))
+    marks = F.array_join(F.zip_with("_places", before, lambda at, last: F.concat(F.repeat(F.lit("0"), at - last - 1), F.lit("1"))), "")
+    drops = drops.select("drop_id", "text_hash", F.encode(marks, "UTF-8").alias("marks"), F.size("_places").alias("n_drops"))
     text = F.coalesce("text", F.lit(""))
-    pairs = F.arrays_zip(split_lines(text).alias("line"), split_lines(ascii_lower(text)).alias("low"))
-    stays = F.filter(pairs, lambda p: (F.char_length(F.btrim(p["low"], F.lit(BLANKS))) < min_chars)
-                     | ~F.array_contains(F.col("drops"), line_hash(p["low"])))
+    stay = F.filter(split_lines(text), lambda _, i: F.substring(F.col("marks"), i + 1, 1) != F.lit(bytearray(b"1")))
     n = F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    has = F.col("drops").isNotNull()
-    return boxed(docs, id=id_col, text=text_col).join(drops, F.expr("id <=> drop_id"), "left") \
-        .withColumn("stay", F.when(has, stays)).select(
-            "row", n.cast("long").alias("n_lines"),
-            F.coalesce(n - F.size("stay"), F.lit(0)).cast("long").alias("n_dropped"),
-            F.when(has, F.array_join(F.col("stay.line"), "\n")).otherwise(text).alias("kept"))
+    has = F.col("marks").isNotNull()
+    rows = boxed(docs, id=id_col, text=text_col).withColumn("own_hash", text_hash(F.col("text")))
+    return rows.join(drops, F.expr("id <=> drop_id and own_hash = text_hash"), "left").select(
+        "row", n.cast("long").alias("n_lines"), F.coalesce("n_drops", F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(has, F.array_join(stay, "\n")).otherwise(text).alias("kept"))
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10,

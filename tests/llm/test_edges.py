@@ -71,6 +71,19 @@ def test_lines(spark, odd, none):
         ["(5, 'a shared line')", "(5, 'a shared line')", "(None, 'own')"]
 
 
+def test_documents_of_very_many_lines(spark):
+    """Two documents of 200,000 lines in common, and rows of one id whose texts differ."""
+    many = "\n".join(f"this is line number {i}" for i in range(200_000))
+    rows = [(1, many, None, None), (2, many + "\nonly here, at the end", None, None), (3, "own first line\n" + many[:4000], None, None),
+            (3, "a line of its own\nthis is line number 7\nshort", None, None), (3, "this is line number 8", None, None)]
+    got = sorted((r["doc_id"], r["n_lines"], r["n_dropped"], r["kept"]) for r in
+                 lines.line_dedup(docs_of(spark, rows)).select("doc_id", "_lines.*").where("doc_id > 1").collect())
+    held = many[:4000].split("\n")
+    rest = "own first line" if held[-1] in many.split("\n") else "own first line\n" + held[-1]
+    assert got == sorted([(2, 200_001, 200_000, "only here, at the end"), (3, len(held) + 1, len(held) + 1 - len(rest.split("\n")), rest),
+                          (3, 3, 1, "a line of its own\nshort"), (3, 1, 1, "")])
+
+
 def test_line_runs_do_not_depend_on_batches(spark, odd):
     rows, docs = odd
     want = plain.line_dedup([(i, t) for i, t, *_ in rows])
