@@ -62,6 +62,22 @@ NOTICES = {
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0."],
 }
 NOTICES |= {k: NOTICES.get(k, []) + [f"{title}\n{LICENSES[k]}" for title in titles] for k, titles in TITLES.items()}
+#: Entire texts known by the SHA-256 of their canonical form alone. Fixed values, of the licence files as their publishers have them.
+DIGESTS = {
+    "Apache-2.0": "adf220ee02537f83220e088f4488ca0e7557d614fac1cc48967b41d13911d6e0",
+    "Artistic-1.0-Perl": "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702",
+    "CC0-1.0": "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    "GFDL-1.2": "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60",
+    "GFDL-1.3": "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826",
+    "GPL-1.0": "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224",
+    "GPL-2.0": "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821",
+    "GPL-3.0": "5fc5b48e8eeed6e5e77c32ad8641a6bc04d25011d6b500aa7dc7f3183ab812ea",
+    "LGPL-2.0": "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908",
+    "LGPL-2.1": "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891",
+    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6",
+    "MPL-2.0": "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9",
+}
 #: Spellings that count as one, applied to whole words in this order; words stand two blanks apart.
 SPELLINGS = [
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub  license", "sublicense"),
@@ -115,30 +131,38 @@ def known_licenses(spark: SparkSession) -> DataFrame:
                                  "license_id string, text string")
 
 
-def license_scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def known_digests(spark: SparkSession) -> DataFrame:
+    """(license_id, sha) of the entire texts known by digest alone."""
+    return spark.createDataFrame(list(DIGESTS.items()), "license_id string, sha string")
+
+
+def license_scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text", digests: DataFrame | None = None) -> DataFrame:
     """One row per row of ``docs``: id, canonical_sha256, license_id, notices.
 
-    ``known(license_id, text)`` are entire licence texts. A document whose entire text is one of them in
+    ``known(license_id, text)`` are entire licence texts, ``digests(license_id, sha)`` further ones as digests of their canonical form. A document whose entire text is one of them in
     canonical form has its ``license_id``; ``notices`` are the licences whose entire text is one line of the
     document, sorted, each once. Both are hash-joins by SHA-256 of the canonical form, in which case,
     punctuation, white space, owner lines and the listed spellings don't count; a longer text that quotes a
     licence doesn't match. Of several licences of one canonical form the first by code point counts.
 
     Null and empty texts are the empty canonical text, which matches nothing, as do known texts without words. Null ids pass
-    through: rows are matched by a number of their own, so equal rows don't mix. Other columns are not read.
+    through. Rows of one id are told apart by a hash of their text, so a notice of one is never found in another. Other columns are not read.
     """
-    digests = known.select("license_id", canonical(canonical_lines(F.col("text"))).alias("_c")).where("_c != ''") \
-        .groupBy(F.sha2("_c", 256).alias("_sha")).agg(F.min("license_id").alias("license_id"))
+    shas = known.select("license_id", canonical(canonical_lines(F.col("text"))).alias("_c")).where("_c != ''") \
+        .select("license_id", F.sha2("_c", 256).alias("_sha"))
+    if digests is not None:
+        shas = shas.unionByName(digests.select("license_id", F.col("sha").alias("_sha")))
+    shas = shas.groupBy("_sha").agg(F.min("license_id").alias("license_id"))
     rows = clear_names(docs, id_col, text_col).toDF("_id", "_text") \
-        .withColumn("_lines", canonical_lines(F.col("_text")))
+        .select("_id", F.struct(F.xxhash64("_text"), F.char_length("_text")).alias("_t"), canonical_lines(F.col("_text")).alias("_lines"))
     parts = F.transform(F.split("_lines", "\n"), lambda x: F.trim(x))
     # one element for the entire text, then one per line with words
     units = F.concat(F.array(F.struct(F.lit(True).alias("whole"), canonical(F.col("_lines")).alias("c"))),
                      F.transform(F.array_distinct(F.filter(parts, lambda x: x != "")), lambda x: F.struct(F.lit(False).alias("whole"), x.alias("c"))))
-    hashed = rows.select("_id", F.transform(units, lambda u: F.struct(u["whole"].alias("whole"), F.sha2(u["c"], 256).alias("sha"))).alias("_units"))
-    by_row = hashed.select("_id", F.get("_units", F.lit(0))["sha"].alias("_own"), F.explode_outer("_units").alias("_u")) \
-        .select("_id", "_own", "_u.whole", F.col("_u.sha").alias("_sha"))
-    found = by_row.join(digests, "_sha", "left").groupBy("_id", "_own").agg(
+    hashed = rows.select("_id", "_t", F.transform(units, lambda u: F.struct(u["whole"].alias("whole"), F.sha2(u["c"], 256).alias("sha"))).alias("_units"))
+    by_row = hashed.select("_id", "_t", F.get("_units", F.lit(0))["sha"].alias("_own"), F.explode_outer("_units").alias("_u")) \
+        .select("_id", "_t", "_own", "_u.whole", F.col("_u.sha").alias("_sha"))
+    found = by_row.join(shas, "_sha", "left").groupBy("_id", "_t", "_own").agg(
         F.min(F.when(F.col("whole"), F.col("license_id"))).alias("license_id"),
         F.array_sort(F.collect_set(F.when(~F.col("whole"), F.col("license_id")))).alias("_set"),
         F.sum(F.col("whole").cast("long")).alias("_copies"))

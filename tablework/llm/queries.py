@@ -187,23 +187,25 @@ def _license_sql() -> str:
     one_line = "trim(regexp_replace({}, '[ \\n]+', ' ', 'g'))"
     texts = [(k, t) for k, t in licenses.LICENSES.items()] + [(k, t) for k, ts in licenses.NOTICES.items() for t in ts]
     values = ", ".join("('{}', '{}')".format(k, t.replace("'", "''")) for k, t in texts)
+    digests = ", ".join(f"('{k}', '{sha}')" for k, sha in licenses.DIGESTS.items())
     return f"""
 with known as (
-    select c, min(license_id) as license_id from (
-        select license_id, {one_line.format(lines("text"))} as c from (values {values}) as v(license_id, text))
-    group by c),
+    select sha, min(license_id) as license_id from (
+        select license_id, sha256({one_line.format(lines("text"))}) as sha from (values {values}) as v(license_id, text)
+        union all select * from (values {digests}) as d(license_id, sha))
+    group by sha),
 d as (select doc_id, {lines("text")} as l from documents),
 n as (
     select doc_id, string_agg(distinct license_id, ',' order by license_id) as notices
-    from (select doc_id, trim(unnest(string_split(l, chr(10)))) as line from d) x join known on known.c = x.line group by doc_id)
+    from (select doc_id, trim(unnest(string_split(l, chr(10)))) as line from d) x join known on known.sha = sha256(x.line) group by doc_id)
 select d.doc_id, sha256({one_line.format("d.l")}) as canonical_sha256, k.license_id, coalesce(n.notices, '') as notices
-from d left join known k on k.c = {one_line.format("d.l")} left join n on n.doc_id = d.doc_id
+from d left join known k on k.sha = sha256({one_line.format("d.l")}) left join n on n.doc_id = d.doc_id
 """
 
 
 @query("op7_license_scan", _license_sql())
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.license_scan(documents(spark, sf_dir), licenses.known_licenses(spark))
+    return licenses.license_scan(documents(spark, sf_dir), licenses.known_licenses(spark), digests=licenses.known_digests(spark))
 
 
 @query("op8_bpe_round_trip")

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import os
 import textwrap
 from collections import Counter
 
@@ -335,6 +336,28 @@ def test_licenses(spark, none):
     assert licenses.license_scan(docs_of(spark, rows), known.limit(0)).where("license_id is not null").count() == 0
 
 
+def test_notices_stay_in_their_row(spark):
+    """Rows of one id, or of none, whose canonical forms are the same though their lines aren't."""
+    rows = [(i, t, None, None) for i in (7, None) for t in ("Released under the MIT License.\nbar", "Released under the MIT License. bar")]
+    got = licenses.license_scan(docs_of(spark, rows + rows), licenses.known_licenses(spark)).collect()
+    assert sorted(str((r["doc_id"], r["notices"])) for r in got) == sorted(["(7, 'MIT')", "(7, '')", "(None, 'MIT')", "(None, '')"] * 2)
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="no licence files here")
+def test_licence_files(spark):
+    """Entire files, also in capitals and wrapped otherwise; one with a word changed isn't found."""
+    names = {"Apache-2.0": "Apache-2.0", "CC0-1.0": "CC0-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0",
+             "LGPL-3": "LGPL-3.0", "GFDL-1.3": "GFDL-1.3", "Artistic": "Artistic-1.0-Perl"}
+    rows, want = [], {}
+    for i, (name, known) in enumerate(names.items()):
+        with open(f"/usr/share/common-licenses/{name}", encoding="utf-8", errors="replace") as f:
+            text = f.read()
+        rows += [(3 * i, text, None, None), (3 * i + 1, text.replace("\n", "\n   ").replace(". ", ".  "), None, None), (3 * i + 2, text.replace(" the ", " teh ", 1), None, None)]
+        want |= {3 * i: known, 3 * i + 1: known, 3 * i + 2: None}
+    out = licenses.license_scan(docs_of(spark, rows), licenses.known_licenses(spark), digests=licenses.known_digests(spark)).collect()
+    assert {r["doc_id"]: r["license_id"] for r in out} == want
+
+
 def test_licenses_as_shipped(spark):
     texts, wrapped = licenses.LICENSES, {k: "\n".join(textwrap.fill(x, 60) for x in t.split("\n")) for k, t in licenses.LICENSES.items()}
     owners = ["Copyright (c) 2020 A", "Copyright The X Authors", "Copyright: Acme Inc.", "copyright  holderness Ltd", "Copyright No", "Copyright <YEAR> <OWNER>",
