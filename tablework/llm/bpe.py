@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Texts longer than this are encoded in parts.
 PART_CHARS = 1 << 16
 #: Distinct pieces whose ids a worker keeps; as many older ones stay until these are full.
-CACHE_PIECES = 300_000
+CACHE_PIECES = 60_000
 #: Pieces longer than this are not kept.
 LONG_PIECE = 64
 
