@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 from functools import reduce
+from math import comb
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -122,23 +123,43 @@ def combinations(spark: SparkSession, items: Sequence[str], modes: Iterable[str
     """All k-subsets of the items for each wanted k, each repeated 1 to 100 times.
 
     Rows ``(k, mask, copy, items)``. Sorted by ``k``, ``mask`` and ``copy``
-    the subsets of one size stand in lexicographic order. They are enumerated
-    as bit masks by ``spark.range``, so they are never gathered anywhere.
+    the subsets of one size stand in lexicographic order. ``spark.range`` counts
+    only the wanted subsets, and each is made from its own rank: sizes left out
+    cost nothing, and the subsets are never gathered anywhere. No wanted size
+    gives no rows.
     """
     n = len(items)
     if n > MAX_ITEMS:
         raise ValueError(f"at most {MAX_ITEMS} items, but: {n}")
-    sizes = [k for k in parse_sizes(modes) if 0 < k <= n]
+    if not 1 <= repeat <= 100:
+        raise ValueError(f"repeat is 1 to 100, but: {repeat}")
+    k, ways, rank, total = F.lit(0), F.lit(0), F.col("id"), 0
+    for size in (size for size in parse_sizes(modes) if 0 < size <= n):
+        here = F.col("id") >= total
+        k, ways = F.when(here, size).otherwise(k), F.when(here, comb(n, size)).otherwise(ways)
+        rank = F.when(here, F.col("id") - total).otherwise(rank)
+        total += comb(n, size)
+
+    def take(state, left):
+        # ``ways`` subsets of ``need`` of the items left; those with the next item come first.
+        with_next = F.floor(state["ways"] * state["need"] / left)
+        taken = state["rank"] < with_next
+        return F.struct(F.when(taken, state["rank"]).otherwise(state["rank"] - with_next).alias("rank"),
+                        F.when(taken, with_next).otherwise(state["ways"] - with_next).alias("ways"),
+                        (state["need"] - taken.cast("long")).alias("need"),
+                        (state["bits"] * 2 + taken.cast("long")).alias("bits"))
+
+    start = F.struct(rank.alias("rank"), ways.cast("long").alias("ways"), k.cast("long").alias("need"),
+                     F.lit(0).cast("long").alias("bits"))
     last = (1 << n) - 1
-    # Counting down from all bits puts the first item into the highest bit.
+    # The first item is the highest bit; ``mask`` counts down from all bits.
+    lefts = F.array(*[F.lit(left) for left in range(n, 0, -1)]).cast("array<int>")
+    bits = F.aggregate(lefts, start, take, lambda state: state["bits"])
     picked = F.filter(F.array(*[F.lit(i) for i in items]),
                       lambda item, i: F.getbit(F.lit(last) - F.col("mask"), F.lit(n - 1) - i) == 1)
-    k = F.bit_count(F.lit(last) - F.col("mask"))
-    if not 1 <= repeat <= 100:
-        raise ValueError(f"repeat is 1 to 100, but: {repeat}")
     copies = F.explode(F.sequence(F.lit(1), F.lit(repeat)))
-    return (spark.range(last).withColumnRenamed("id", "mask").where(k.isin(sizes))
-            .select(k.alias("k"), "mask", picked.alias("items")).withColumn("copy", copies)
+    return (spark.range(total).select(k.cast("int").alias("k"), (F.lit(last).cast("long") - bits).alias("mask"))
+            .select("k", "mask", picked.alias("items")).withColumn("copy", copies)
             .select("k", "mask", "copy", "items"))
 
 
