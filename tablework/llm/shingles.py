@@ -10,8 +10,9 @@ import xxhash
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Bytes handled at a time; a longer text goes in parts that end at white space.
 CHUNK = 1 << 20
-#: Longer words are hashed one by one.
-LONG_WORD = 4096
+#: Longer words are hashed byte by byte with a mixing hash, one at a time: numbers modulo 2**64 as used below are the same for
+#: some pairs of words from about a thousand bytes on (Thue-Morse words), which 64 bytes are far from.
+LONG_WORD = 64
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -95,7 +96,7 @@ def shingle_sets(texts: Iterable[bytes | None], size: int = 5) -> Iterator[np.nd
 
     A text of fewer words has its whole sequence as the one run; a text without words, or null, has none. Words
     are what white space (the blank, U+0009 to U+000D) separates. Two different runs share a hash with
-    odds of about one to 2**64.
+    odds of about one to 2**64; words made to collide are not ruled out.
     """
     waiting: list[bytes] = []
     length = 0

@@ -148,6 +148,15 @@ def test_shingles_of_long_texts(monkeypatch):
     assert (list(shingles.shingle_sets([b"a", text, None]))[1] == whole).all()
 
 
+def test_words_that_a_plain_polynomial_confuses(spark):
+    rows = []
+    for size in (32, 64, 65, 512, 1024, 2048, 4096):
+        word = "".join("ab"[i.bit_count() % 2] for i in range(size))
+        rows += [(len(rows), word, None, None), (len(rows) + 1, word.translate(str.maketrans("ab", "ba")), None, None)]
+    found = ngram_join.jaccard_groups(docs_of(spark, rows)).collect()
+    assert {r[0]: (r[1], r[2]) for r in found} == {i: (1, i) for i, *_ in rows}
+
+
 def test_mixing(spark, odd, none):
     rows, docs = odd
     got = {r["doc_id"]: r for r in mixing.mix_report(docs).collect()}
