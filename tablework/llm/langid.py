@@ -1,7 +1,4 @@
-"""Language ID by unigrams over the pieces of a public vocabulary, summed over all segmentations of a word.
-
-Words of more than 47 bytes are cut into blocks of 48, and segmentations with a piece across two blocks are left out.
-"""
+"""Language ID by unigrams over the pieces of a public vocabulary, summed over all segmentations of a word of any length."""
 
 from __future__ import annotations
 
@@ -19,8 +16,10 @@ from pyspark.sql import functions as F
 
 #: Runs of letters; digits that \w has besides are told apart below.
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Longer words are scored in blocks of so many bytes, so that no product underflows.
+#: Bytes after which the sums are scaled anew, so that none underflows.
 BLOCK = 48
+#: Bytes of words, times languages, handled at a time; one word at least.
+CELLS = 1 << 20
 #: Text handled at a time in a worker.
 CHUNK_CHARS = 1_000_000
 #: Share of the bytes' uniform distribution in each language's pieces, so that every word has a probability.
@@ -81,10 +80,10 @@ class Pieces:
             found = at if found is None else np.minimum(found, at)
         return found
 
-    def lattice(self, words: list[bytes]) -> list[np.ndarray]:
-        """For words of one length: by piece length m from 1, the pieces [word, start]."""
-        n, size = len(words), len(words[0])
-        x = np.frombuffer(b"".join(words), np.uint8).reshape(n, size).astype(np.uint64) + np.uint64(1)
+    def lattice(self, words: np.ndarray) -> list[np.ndarray]:
+        """For words of one length as bytes [word, place]: by piece length m from 1, the pieces [word, start]."""
+        n, size = words.shape
+        x = words.astype(np.uint64) + np.uint64(1)
         prefix = np.zeros((n, size + 1), np.uint64)
         for t in range(size):
             prefix[:, t + 1] = prefix[:, t] * BASE + x[:, t]
@@ -92,38 +91,57 @@ class Pieces:
                 for m in range(1, min(size, self.longest) + 1)]
 
 
-def forward(lattice: list[np.ndarray], p: np.ndarray) -> np.ndarray:
-    """alpha[t, word, language]: probability of the first t bytes over all their segmentations."""
+def forward(lattice: list[np.ndarray], p: np.ndarray, given: np.ndarray) -> np.ndarray:
+    """alpha[t, word, language]: probability of the first t bytes over all their segmentations, from the ``given`` first ones on."""
     n, size = lattice[0].shape
-    alpha = np.zeros((size + 1, n, p.shape[1]))
-    alpha[0] = 1
-    for t in range(1, size + 1):
+    alpha = np.concatenate([given, np.zeros((size + 1 - len(given), n, p.shape[1]))])
+    found = [(at < len(p) - 1).any(0) for at in lattice]
+    for t in range(len(given), size + 1):
         for m in range(1, min(t, len(lattice)) + 1):
-            alpha[t] += alpha[t - m] * p[lattice[m - 1][:, t - m]]
+            if found[m - 1][t - m]:
+                alpha[t] += alpha[t - m] * p[lattice[m - 1][:, t - m]]
     return alpha
 
 
-def by_length(words: list[bytes]) -> Iterator[np.ndarray]:
-    """Positions of the words, by length, at most 4,000 at a time."""
+def forward_blocks(pieces: Pieces, words: np.ndarray, p: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each block of bytes its start, ``alpha`` after each of its bytes, and the log of what these are to be multiplied by.
+
+    What goes from one block to the next is alpha after as many bytes as the longest piece has, so pieces across blocks count.
+    """
+    n, size = words.shape
+    given, log = np.ones((1, n, p.shape[1])), np.zeros((n, p.shape[1]))
+    for t in range(0, size, BLOCK):
+        alpha = forward(pieces.lattice(words[:, t + 1 - len(given):t + BLOCK]), p, given)
+        yield t, alpha[len(given):], log
+        log = log + np.log(alpha[-1])
+        given = alpha[-pieces.longest:] / alpha[-1]
+
+
+def by_length(words: list[bytes], langs: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the words and the words as bytes [word, place], by length, at most 4,000 at a time."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     order = np.argsort(sizes, kind="stable")
     for same in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1) if len(order) else []:
-        for i in range(0, len(same), 4_000):
-            yield same[i:i + 4_000]
+        size = int(sizes[same[0]])
+        n = max(1, min(4_000, CELLS // (size * langs)))
+        for i in range(0, len(same), n):
+            at = same[i:i + n]
+            yield at, np.frombuffer(b"".join([words[j] for j in at]), np.uint8).reshape(len(at), size)
 
 
 def score_words(pieces: Pieces, words: list[bytes], p: np.ndarray) -> np.ndarray:
     """log probability [word, language]; ``p`` has a last row of 0 for no piece."""
     out = np.zeros((len(words), p.shape[1]))
-    for at in by_length(words):
-        out[at] = np.log(forward(pieces.lattice([words[i] for i in at]), p)[-1])
+    for at, group in by_length(words, p.shape[1]):
+        for _, alpha, log in forward_blocks(pieces, group, p):
+            last = log + np.log(alpha[-1])
+        out[at] = last
     return out
 
 
-def blocks(word: str) -> list[bytes]:
-    """A word as the vocabulary has it, with a blank before it, in blocks of at most ``BLOCK`` bytes."""
-    raw = b" " + word.encode("utf-8", "replace")
-    return [raw[i:i + BLOCK] for i in range(0, len(raw), BLOCK)]
+def spelt(word: str) -> bytes:
+    """A word as the vocabulary has it, with a blank before it."""
+    return b" " + word.encode("utf-8", "replace")
 
 
 def letter_runs(text: str) -> list[str]:
@@ -135,51 +153,64 @@ def letter_runs(text: str) -> list[str]:
 def fit(pieces: Pieces, counts: Counter, rounds: int) -> np.ndarray:
     """Piece probabilities of one language by expectation maximisation over its word counts."""
     p = np.full(pieces.count, 1 / pieces.count)
-    parts: Counter = Counter()
-    for word, n in counts.items():
-        for b in blocks(word):
-            parts[b] += n
-    words, weight = list(parts), np.array(list(parts.values()), float)
-    groups = [(at, pieces.lattice([words[i] for i in at])) for at in by_length(words)]
+    words, weight = [spelt(word) for word in counts], np.array(list(counts.values()), float)
     for _ in range(rounds):
-        expected = np.zeros(pieces.count + 1)
         q = np.append((1 - FLOOR) * p + FLOOR * pieces.uniform, 0)[:, None]
-        for at, lattice in groups:
-            alpha = forward(lattice, q)[:, :, 0]
-            size = len(alpha) - 1
-            beta = np.zeros_like(alpha)
-            beta[size] = 1
-            for t in range(size - 1, -1, -1):
-                for m in range(1, min(size - t, len(lattice)) + 1):
-                    beta[t] += beta[t + m] * q[lattice[m - 1][:, t], 0]
-            share = weight[at] / alpha[size]
-            for m, found in enumerate(lattice, 1):
-                mass = (alpha[:size - m + 1].T * q[found, 0]) * beta[m:].T * share[:, None]
-                expected += np.bincount(found.ravel(), mass.ravel(), pieces.count + 1)
+        expected = np.zeros(pieces.count + 1)
+        for at, group in by_length(words, 1):
+            expected += expected_pieces(pieces, group, weight[at], q)
         p = expected[:-1] / max(expected[:-1].sum(), 1e-300)
     return (1 - FLOOR) * p + FLOOR * pieces.uniform
 
 
+def expected_pieces(pieces: Pieces, words: np.ndarray, weight: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """How often each piece is expected in words of one length that occur ``weight`` times, over all their segmentations."""
+    n, size = words.shape
+    expected, ahead = np.zeros(pieces.count + 1), np.zeros((size + 1, n))
+    for t, alpha, log in forward_blocks(pieces, words, q):
+        ahead[t + 1:t + 1 + len(alpha)] = np.log(alpha[:, :, 0]) + log[:, 0]
+    given, log = np.ones((1, n)), np.zeros(n)
+    for t in range((size - 1) // BLOCK * BLOCK, -1, -BLOCK):  # from the last block to the first
+        width = min(BLOCK, size - t)
+        lattice = pieces.lattice(words[:, t:t + width + len(given) - 1])
+        found = [at < pieces.count for at in lattice]
+        beta = np.concatenate([np.zeros((width, n)), given])
+        for i in range(width - 1, -1, -1):
+            for m in range(1, min(len(beta) - 1 - i, len(lattice)) + 1):
+                if found[m - 1][:, i].any():
+                    beta[i] += beta[i + m] * q[lattice[m - 1][:, i], 0]
+        after = np.log(beta) + log - ahead[size]
+        for m, at in enumerate(lattice, 1):
+            word, i = np.nonzero(found[m - 1][:, :width])
+            piece = at[word, i]
+            mass = np.exp(ahead[t + i, word] + after[i + m, word]) * q[piece, 0] * weight[word]
+            expected += np.bincount(piece, mass, pieces.count + 1)
+        log = log + np.log(beta[0])
+        given = beta[:pieces.longest] / beta[0]
+    return expected
+
+
 @lru_cache(maxsize=2)
 def vocabulary(rank_file: str) -> Pieces:
     return Pieces(rank_file)
 
 
-def train(docs: DataFrame, rank_file: str, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
+def train(docs: DataFrame, rank_file: str, text_col: str = "text", lang_col: str = "lang",
           sample_chars: int = 3_000_000, rounds: int = 4, max_langs: int = 200) -> dict[str, np.ndarray]:
     """Piece probabilities by language, from the labelled rows of ``docs``.
 
-    Each language is fitted on its whole texts in the order of a hash, at least one, until they have ``sample_chars``
-    characters or more; so the fit is one task per language over that many characters and at most the rest of one text. The model
+    Each language is fitted on its different whole texts in the order of a hash of the text, at least one, until they have
+    ``sample_chars`` characters or more; copies count once, and ids have no part in it. So the fit is one task per language over that many characters and at most the rest of one text. The model
     has one float per piece and language, at most ``max_langs`` of them. Rows with null label, or with a text that is null or has no
     letters, teach nothing.
     """
-    labelled = docs.select(F.shiftrightunsigned(F.xxhash64(F.lit("sample"), F.col(f"`{id_col}`"), F.col(f"`{text_col}`")), 1).alias("h"),
+    labelled = docs.select(F.shiftrightunsigned(F.xxhash64(F.lit("sample"), F.col(f"`{text_col}`")), 1).alias("h"),
                            F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")) \
         .where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     # bands of hashes, each as wide as all before it together, tell roughly where the sample ends
     band, size = F.length(F.bin("h")), F.char_length("text").cast("long")
-    chars = labelled.groupBy("lang", band.alias("band")).agg(F.sum(size).alias("n")) \
+    texts = labelled.groupBy("lang", "h").agg(F.max(size).alias("n"))  # copies once, as a hash and a length
+    chars = texts.groupBy("lang", band.alias("band")).agg(F.sum("n").alias("n")) \
         .groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("band", "n"))).alias("bands")).limit(max_langs + 1).collect()
     if len(chars) > max_langs:
         raise ValueError(f"more than {max_langs} languages")
@@ -194,9 +225,9 @@ def train(docs: DataFrame, rank_file: str, text_col: str = "text", lang_col: str
                 before = F.when(F.col("lang") == row["lang"], F.lit(so_far).cast("long")).otherwise(before)
                 break
             so_far += n
-    # in the band of the end, ids' hashes and lengths only
+    # in the band of the end, hashes and lengths only
     upto = F.sum("n").over(Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, -1))
-    ends = labelled.where(band == end).select("lang", "h", size.alias("n"), before.alias("before")) \
+    ends = texts.where(band == end).select("lang", "h", "n", before.alias("before")) \
         .withColumn("before", F.col("before") + F.coalesce(upto, F.lit(0))) \
         .where((F.col("before") < sample_chars) | (F.col("before") == 0)).groupBy("lang").agg(F.max("h").alias("h")).collect()
     last = F.lit((1 << 63) - 1)
@@ -211,7 +242,7 @@ def train(docs: DataFrame, rank_file: str, text_col: str = "text", lang_col: str
         p = fit(vocabulary(rank_file), counts, rounds)
         return pd.DataFrame({"lang": [key[0]], "p": [p.astype("<f4").tobytes()], "words": [len(counts)]})
 
-    fitted = labelled.where(drawn).select("lang", "text").groupBy("lang").applyInPandas(one, "lang string, p binary, words long").collect()
+    fitted = labelled.where(drawn).dropDuplicates(["lang", "h"]).select("lang", "text").groupBy("lang").applyInPandas(one, "lang string, p binary, words long").collect()
     model = {r["lang"]: np.frombuffer(r["p"], "<f4").astype(float) for r in sorted(fitted) if r["words"]}
     if missing := sorted({r["lang"] for r in chars} - set(model)):
         raise ValueError(f"languages without a model: {missing}")
@@ -245,14 +276,7 @@ def predict(docs: DataFrame, model: dict[str, np.ndarray], rank_file: str, text_
             flat.append(np.fromiter(map(index.__getitem__, runs), np.int64, len(runs)))
         if shared.value is None or not index:
             return ["und"] * len(texts), [0.0] * len(texts)
-        parts, owner = [], []
-        for i, word in enumerate(index):
-            for b in blocks(word):
-                parts.append(b)
-                owner.append(i)
-        of_part = score_words(vocabulary(rank_file), parts, shared.value)
-        of_word = np.zeros((len(index), len(langs)))
-        np.add.at(of_word, owner, of_part)
+        of_word = score_words(vocabulary(rank_file), [spelt(word) for word in index], shared.value)
         names, scores = [], []
         for n, at in zip(sizes, flat):
             if not n:
@@ -292,5 +316,5 @@ def held_out(id_col: str = "doc_id"):
 
 def identify(docs: DataFrame, rank_file: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` with lang_pred and score, by a model of its own labelled rows that aren't held out."""
-    model = train(docs.where(~held_out(id_col)), rank_file, text_col, lang_col, id_col)
+    model = train(docs.where(~held_out(id_col)), rank_file, text_col, lang_col)
     return predict(docs, model, rank_file, text_col)

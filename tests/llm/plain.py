@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
@@ -120,3 +122,55 @@ def mix(docs, seed="mix", epochs=3):
         spent += size[d]
         taken[d] += 1
     return {d: taken[d] for d, _, _ in docs}
+
+
+def segment_sums(word, p):
+    """log of the sums over all segmentations of each beginning and each end of a word; ``p`` by piece."""
+    size, longest = len(word), max(map(len, p))
+    ahead, behind = [0.0] + [-math.inf] * size, [-math.inf] * size + [0.0]
+    for t in range(1, size + 1):
+        parts = [ahead[s] + math.log(p[word[s:t]]) for s in range(max(0, t - longest), t) if p.get(word[s:t])]
+        ahead[t] = max(parts) + math.log(sum(math.exp(x - max(parts)) for x in parts))
+    for s in range(size - 1, -1, -1):
+        parts = [behind[t] + math.log(p[word[s:t]]) for t in range(s + 1, min(size, s + longest) + 1) if p.get(word[s:t])]
+        behind[s] = max(parts) + math.log(sum(math.exp(x - max(parts)) for x in parts))
+    return ahead, behind
+
+
+def languages(rows, pieces, floor, rounds=4):
+    """doc_id: (held_out, language, score) of rows (doc_id, text, lang), where the sample takes all texts."""
+    def words(text):
+        return [b" " + w.encode() for w in re.findall(r"[^\W\d_]+", (text or "").lower()) if any(map(str.isalpha, w))]
+
+    def held(doc):
+        return doc is not None and zlib.crc32(str(doc).encode()) % 4 == 2
+
+    single = [x for x in pieces if len(x) == 1]
+
+    def floored(p):
+        return {x: (1 - floor) * p.get(x, 0.0) + (floor / len(single) if len(x) == 1 else 0.0) for x in pieces}
+
+    model = {}
+    for lang in sorted({lang for doc, text, lang in rows if lang is not None and words(text) and not held(doc)}):
+        counts = Counter(w for text in {text for doc, text, x in rows if x == lang and not held(doc)} for w in words(text))
+        p = dict.fromkeys(pieces, 1 / len(pieces))
+        for _ in range(rounds):
+            q, expected = floored(p), Counter()
+            for word, n in counts.items():
+                ahead, behind = segment_sums(word, q)
+                for s in range(len(word)):
+                    for t in range(s + 1, len(word) + 1):
+                        if q.get(word[s:t]):
+                            expected[word[s:t]] += n * q[word[s:t]] * math.exp(ahead[s] + behind[t] - ahead[-1])
+            total = sum(expected.values())
+            p = {x: n / total for x, n in expected.items()}
+        model[lang] = floored(p)
+    out = {}
+    for doc, text, _ in rows:
+        logs = {lang: sum(segment_sums(w, p)[0][-1] for w in words(text)) for lang, p in model.items()}
+        if not model or not words(text):
+            out[doc] = (held(doc), "und", 0.0)
+            continue
+        best = max(logs, key=logs.get)  # the first of equals, in order of code points
+        out[doc] = (held(doc), best, 1 / sum(math.exp(x - logs[best]) for x in logs.values()))
+    return out

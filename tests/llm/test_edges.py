@@ -216,6 +216,44 @@ def test_forward_sums_all_segmentations(tmp_path):
     assert got == pytest.approx([np.log(total(w)) for w in words])
 
 
+def test_long_words_sum_all_segmentations():
+    # pieces across any place count: against sums in logs, over many blocks and several words at a time
+    pieces = langid.Pieces(queries.PIECES)
+    rng = np.random.default_rng(2)
+    p = rng.random(pieces.count) ** 8 + 1e-9
+    p /= p.sum()
+    by_piece = dict(zip(pieces.pieces, p))
+    some = [x for x in pieces.pieces if len(x) > 3]
+    words = [b"".join(some[i] for i in rng.integers(0, len(some), 300))[:size] for size in (1, 47, 48, 49, 81, 82, 96, 97, 700, 700)]
+    words.append(" \u6f22\u5b57\u304b\u306a".encode() * 40)
+    got = langid.score_words(pieces, words, np.append(p, 0)[:, None])[:, 0]
+    assert got == pytest.approx([plain.segment_sums(w, by_piece)[0][-1] for w in words], rel=1e-9)
+    x = np.frombuffer(words[-2], np.uint8)[None]
+    mass = langid.expected_pieces(pieces, x, np.ones(1), np.append(p, 0)[:, None])
+    assert sum(mass[i] * len(piece) for i, piece in enumerate(pieces.pieces)) == pytest.approx(700)  # each byte is in one piece
+
+
+def test_language_id_against_plain(spark):
+    # every row and score, words of 60 letters and texts without blanks among them; copies teach once, ids nothing
+    base = {"en": "the house and the garden are behind these trees", "de": "das haus und der garten sind hinter diesen baeumen",
+            "ja": "\u6f22\u5b57\u3068\u4eee\u540d\u306e\u6587\u7ae0\u3092\u8aad\u3080\u4eba\u304c\u3044\u308b\u3060\u308d\u3046\u304b" * 3}
+    rows = []
+    for lang, text in base.items():
+        parts = text.split(" ")
+        rows += [(len(rows) + i, " ".join(parts[i % len(parts):]) + f" {i}", lang) for i in range(9)]
+        rows += [(len(rows), text.replace(" ", "") * 2, lang), (len(rows) + 1, text, lang), (len(rows) + 2, text, lang)]
+    rows += [(100, None, "en"), (101, "", "de"), (102, "12 _", "en"), (103, "haus", None), (None, "garden", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    pieces = langid.Pieces(queries.PIECES)
+    want = plain.languages(rows, pieces.pieces, langid.FLOOR)
+    out = langid.identify(df.withColumn("held_out", langid.held_out()), queries.PIECES).collect()
+    assert {r["doc_id"]: (r["held_out"], r["lang_pred"]) for r in out} == {i: w[:2] for i, w in want.items()}
+    assert [r["score"] for r in out] == pytest.approx([want[r["doc_id"]][2] for r in out], rel=1e-3)
+    moved = [(None if i is None else 7 * i + 4, t, x) for i, t, x in rows]
+    models = [langid.train(spark.createDataFrame(x, df.schema), queries.PIECES, sample_chars=200) for x in (rows, moved, rows + rows)]
+    assert all(np.array_equal(models[0][x], m[x]) for m in models for x in base)
+
+
 def test_packing(spark, odd, none):
     rows, docs = odd
     enc = plain.encoding(queries.RANKS, public_tokenizers.PATTERN)
