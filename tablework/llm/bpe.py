@@ -16,25 +16,18 @@ from pyspark.sql import functions as F
 
 #: Texts longer than this are encoded in parts.
 PART_CHARS = 1 << 16
-#: Distinct pieces whose ids a worker keeps; as many older ones stay until these are full.
-CACHE_PIECES = 60_000
-#: Pieces longer than this are not kept.
-LONG_PIECE = 64
 
-#: A blank after white space: only there is a cut before a blank not a boundary of the pattern.
-UNSAFE = re.compile(r"\s ")
 #: White space as the pattern has it, in runs too long for the pattern's look-ahead.
 LONG_SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % PART_CHARS)
 
 
 class Encoder:
-    """Ids as ``tiktoken.Encoding.encode_ordinary`` gives them, by pieces.
+    """Ids as ``tiktoken.Encoding.encode_ordinary`` gives them, for texts of any length.
 
     No alternative of the split pattern runs from a character that isn't white space into white space, and
     none looks back. So a cut before a blank that follows such a character is always a boundary: the ids
-    of a text are those of its pieces, one after the other. The pieces of natural text repeat, so most are
-    looked up. Texts where a blank follows white space are encoded whole, or if long in parts that end
-    at the last such boundary.
+    of a text are those of its parts, one after the other. Texts go to the library whole, long ones in parts that end
+    at such boundaries; nothing is kept from one text to the next.
 
     A run of white space of two or more is one match up to its last character, which goes with what follows, and the whole
     run at the end of a text. Runs of ``PART_CHARS`` and more are cut out by that rule and their bytes merged without the
@@ -46,8 +39,6 @@ class Encoder:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.tiktoken = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.n_vocab = max(ranks.values()) + 1
-        self.known: dict[str, dict[str, bytes]] = {}
-        self.older: dict[str, dict[str, bytes]] = {}
 
     def parts(self, text: str) -> Iterator[str]:
         """Consecutive parts of a long text, cut at boundaries of the pattern where there are any."""
@@ -82,26 +73,7 @@ class Encoder:
         return b"".join([*out, self._without_long_space(text[start:], dtype)])
 
     def _without_long_space(self, text: str, dtype: str) -> bytes:
-        plain = self.tiktoken.encode_ordinary
-        if UNSAFE.search(text):
-            return b"".join([np.array(plain(part), dtype).tobytes() for part in self.parts(text)])
-        known = self.known.setdefault(dtype, {})
-        if len(known) >= CACHE_PIECES:
-            self.older[dtype] = known
-            known = self.known[dtype] = {}
-        first, *rest = text.split(" ")
-        head = np.array(plain(first), dtype).tobytes()
-        try:
-            return head + b"".join(map(known.__getitem__, rest))
-        except KeyError:
-            older, new = self.older.get(dtype, {}), set(rest).difference(known)
-            for piece in new:
-                known[piece] = older.get(piece) or np.array(plain(" " + piece), dtype).tobytes()
-            out = head + b"".join(map(known.__getitem__, rest))
-            for piece in new:
-                if len(piece) > LONG_PIECE:
-                    del known[piece]
-            return out
+        return b"".join([np.array(self.tiktoken.encode_ordinary(part), dtype).tobytes() for part in self.parts(text)])
 
     def decode(self, ids: list[int]) -> bytes:
         return self.tiktoken.decode_bytes(ids)

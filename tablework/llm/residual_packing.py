@@ -16,11 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tablework.llm.bpe import LONG_PIECE, UNSAFE, id_lists, text_of
+from tablework.llm.bpe import id_lists, text_of
 from tablework.llm.common import discard, scratch
 
 #: Distinct pieces, and matches in them, whose ids a worker keeps; as many older ones stay until these are full.
 CACHE_PIECES = 400_000
+#: Pieces longer than this are not kept.
+LONG_PIECE = 64
+#: A blank after white space: only there is a cut before a blank not a boundary of the pattern.
+UNSAFE = re.compile(r"\s ")
 #: Pieces of documents that one partition packs, and partitions or bins' groups that one merge takes.
 PARTITION_PIECES, FAN_IN = 1 << 16, 16
 #: Bins of a group that may go up a level.

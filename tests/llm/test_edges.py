@@ -4,6 +4,7 @@ import hashlib
 import json
 import os
 import textwrap
+import tracemalloc
 from collections import Counter
 
 import duckdb
@@ -319,6 +320,28 @@ def test_encoding_in_parts(text):
     assert [i for p in parts for i in PLAIN.encode_ordinary(p)] == PLAIN.encode_ordinary(text)
 
 
+def test_texts_go_to_the_library_whole(monkeypatch):
+    """Words never met before cost no call each, and none is kept: a worker's memory stays the same over any number of them."""
+    enc, calls = bpe.Encoder(queries.RANKS, public_tokenizers.PATTERN), []
+
+    class Counted:
+        @staticmethod
+        def encode_ordinary(text):
+            calls.append(len(text))
+            return PLAIN.encode_ordinary(text)
+
+    monkeypatch.setattr(enc, "tiktoken", Counted)
+    texts = [" ".join(f"w{i:x}q" for i in range(n, n + 500)) for n in range(0, 20_000, 500)]
+    tracemalloc.start()
+    try:
+        for text in texts:
+            assert np.frombuffer(enc.encode_bytes(text, "<u4"), "<u4").tolist() == PLAIN.encode_ordinary(text)
+        kept = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert calls == [len(text) for text in texts] and kept < 200_000
+
+
 def test_bpe_columns(spark, odd, none):
     rows, docs = odd
     coded = bpe.decode(bpe.encode(docs, queries.RANKS, public_tokenizers.PATTERN), queries.RANKS, public_tokenizers.PATTERN)
