@@ -10,6 +10,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -536,3 +537,28 @@ def test_white_space_of_any_length_in_queries(spark):
         assert rows[doc]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
     packed = packing.pack_texts(docs, queries.RANKS, public_tokenizers.PATTERN).collect()
     assert sum(r["n_tokens"] for r in packed) == sum(r["n_tokens"] + 1 for r in rows.values())
+
+
+@pytest.mark.parametrize("stage", ["language_id", "near_duplicates", "token_ids"])
+def test_pipeline_hands_workers_a_few_megabytes_at_a_time(spark, stage):
+    """Batches of any table are bounded by their bytes; a figure that the session has already stays."""
+    def largest():
+        def run(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+        wide = spark.range(0, 300, 1, 1).select(F.repeat(F.lit("ab "), 20_000).alias("text"))  # 18 MB in all
+        return max(r["n"] for r in wide.mapInArrow(run, "n long").collect())
+
+    docs, key = docs_of(spark, [(1, "a b c d e f", "en", "s"), (2, "a b c", "en", "s")]), "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        dict(corpus_pipeline.STAGES)[stage](spark, docs, "")
+        assert largest() <= (4 << 20) + 100_000
+        spark.conf.set(key, "1m")
+        dict(corpus_pipeline.STAGES)[stage](spark, docs, "")
+        assert largest() <= (1 << 20) + 100_000
+    finally:
+        spark.conf.unset(key)
+        if before is not None:
+            spark.conf.set(key, before)
